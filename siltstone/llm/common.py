@@ -6,6 +6,7 @@ Arrow buffers with numpy: no per-character or per-word Python loop.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -15,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by one numpy pass (a longer single text is handled alone).
 CHUNK_BYTES = 4 << 20
@@ -46,12 +46,30 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
+def stored_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and where: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """As :func:`stored_at`, the table only."""
+    return stored_at(df, what)[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more, now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(spark: SparkSession, uri: str) -> None:
+    """Removes a stored table; nothing that is still to be computed may read it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,46 +1,56 @@
 """N-gram Jaccard self-join with PartEnum signatures.
 
-A document is the set of hashes of its n consecutive words.  Sets a and b with
-Jaccard similarity of at least t differ in at most (|a| + |b|)(1 - t)/(1 + t)
-elements, and |b| <= |a|/t, so in at most k = |a|(1 - t)/t.
-
-Scheme.  Sizes are cut into bands of ratio two.  Each band hashes the feature
-domain into n1 partitions of three parts.  With 2 n1 > k some partition holds
-at most one of the differing elements, so on some two of its three parts the
-sets agree.  The signature of each two of three parts (band, partition, which
-two, and the elements in them) is therefore shared by every pair similar
-enough.  A set also enumerates signatures in the scheme of the band below,
-where a partner may be of that band.
-
-Signatures of parts that hold nothing say nothing, and would be shared by
-unrelated sets; they are left out.  That loses no pair where more than k/2 of
-a set's partitions have all three of their signatures, which n1 is chosen
-for; where it fails for a set, it would have to fail for its partner as well,
-and the differences to fall in all other partitions.
+A document is the set of hashes of its n consecutive words.
+
+Scheme.  Sizes are cut into bands of ratio two.  A band's features are those
+of the whole domain, or, for large sets, of a fixed share of it, so that a set
+has 64 to 128 of them.  Each band hashes this domain into partitions of three
+parts.  Sets that differ little agree, in some partition, on some two of its
+three parts; the signature of each two of three parts (band, partition, which
+two, and the elements in them) is what such sets share.  The number of
+partitions is the least for which a pair at the threshold, of the sizes at the
+top of a band, shares no signature with a probability of :data:`MISS` at most;
+more similar pairs are missed far more rarely.  A set also enumerates
+signatures in the scheme of the band below, where a partner may be.
+Signatures of parts that hold nothing say nothing and are left out.
 
 Sets that share a signature form a run.  Joining each with the run's least
 member only (its centre) keeps the work linear in a run: two sets with a
-shared signature have a common centre, and the pair is compared exactly, on
-the features, at the least centre that they have in common, once.
-Documents with equal sets are one node of the join.
+shared signature have a common centre, and the pair is compared at the least
+centre that they have in common, once.  Documents with equal sets are one node
+of the join.
+
+Comparison is in two steps.  Each node has a small parity map of its set: the
+number of bits in which two maps differ is at most the number of features in
+which the sets differ, so pairs that differ in too many bits are dropped
+without an error.  Texts of what remains go to the centres and are compared
+exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mix, ngram_hashes, normalised, shared_dir, slices, stored, word_hashes
+from siltstone.llm.common import discard, mix, ngram_hashes, normalised, release, slices, stored, stored_at, word_hashes
 
+#: Copies with a few words changed are above this; unrelated texts are far below.
+THRESHOLD = 0.55
 #: Sizes below this are one band, in which every feature is a partition of its own.
 SMALL = 16
+#: Larger sets are sampled, each band by a power of two, to fewer features than this.
+SAMPLED = 128
+#: The most that the probability of missing a pair at the threshold may be.
+MISS = 1e-3
 _M = np.uint64(0x9E3779B97F4A7C15)
-#: Number of ranges into which signatures are cut before they are shuffled.
-RANGES = 256
+#: Up to this size the list of documents to compare is sent to every task; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def feature_sets(strings: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +79,23 @@ def band_of(size: np.ndarray) -> np.ndarray:
     return np.where(size < SMALL, 0, np.floor(np.log2(np.maximum(size, SMALL) / SMALL)).astype(np.int64) + 1)
 
 
+def sampling_of(band: int) -> int:
+    """The number of halvings of a band's domain."""
+    return max(0, band + int(math.log2(SMALL)) - int(math.log2(SAMPLED)))
+
+
+@lru_cache(1000)
 def partitions_of(band: int, threshold: float) -> int:
-    """The number of first-level partitions of a band's scheme."""
-    upper = SMALL * 2**band
-    k = upper * (1 - threshold) / threshold
-    # three parts a partition; enough of them that partitions short of elements don't matter
-    return int(np.ceil((k / 2) * (1.15 + 4 / np.sqrt(k)))) + 1
+    """The number of first-level partitions of a band's scheme, by the probability of a miss."""
+    size = SMALL * 2**band / 2 ** sampling_of(band)
+    differ = 2 * size * (1 - threshold) / (1 + threshold)
+    if sampling_of(band):
+        differ += 1.5 * math.sqrt(differ)
+    for n in range(2, int(size) + 2):
+        clean = math.exp(-differ / (3 * n))
+        if (1 - (3 * clean**2 - 2 * clean**3)) ** n <= MISS:
+            break
+    return n
 
 
 def signatures(gram: np.ndarray, first: np.ndarray, ids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +114,10 @@ def signatures(gram: np.ndarray, first: np.ndarray, ids: np.ndarray, threshold:
             at = np.repeat(first[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             features = gram[at]
             row = np.repeat(np.arange(len(rows)), count)
+            halvings = sampling_of(scheme)
+            if halvings:
+                kept = mix(features ^ np.uint64(0xA11CE)) >> np.uint64(64 - halvings) == 0
+                features, row = features[kept], row[kept]
             if scheme == 0:
                 out_sig.append(mix(features ^ np.uint64(0x5EED)))
                 out_id.append(ids[rows][row])
@@ -116,8 +141,18 @@ def signatures(gram: np.ndarray, first: np.ndarray, ids: np.ndarray, threshold:
     return np.concatenate(out_sig), np.concatenate(out_id)
 
 
-def _signer(n: int, threshold: float):
-    """Rows of (bucket, signatures, set ids) as packed arrays, and of (doc_id, node)."""
+def parity_maps(gram: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each set, the parities of the numbers of features by bit; at least two bits for each feature."""
+    size = np.diff(first)
+    width = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(width)])
+    bit = (mix(gram + _M) & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(begin[:-1], size)
+    parity = np.packbits((np.bincount(bit, minlength=int(begin[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [parity[a:b] for a, b in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist())]
+
+
+def _signer(n: int, threshold: float, bits: int):
+    """Rows of (bucket, signatures, set ids) as packed arrays, and of (doc_id, node, size, parity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,13 +167,15 @@ def _signer(n: int, threshold: float):
                 begin = np.concatenate([[0], np.cumsum(size)])
                 kept = gram[np.repeat(first[:-1] - begin[:-1], size) + np.arange(begin[-1])]
                 sig, owner = signatures(kept, begin, ids, threshold)
-                bucket = (sig >> np.uint64(56)).astype(np.uint8)
+                bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 sig, owner = sig[order], owner[order]
-                cut = np.searchsorted(bucket[order], np.arange(RANGES + 1))
+                cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
                 b = np.flatnonzero(np.diff(cut))
-                high = (sig >> np.uint64(24)).astype(np.uint32)
-                low = ((sig >> np.uint64(16)) & np.uint64(0xFF)).astype(np.uint8)
+                # with the bucket, 40 more bits tell signatures apart
+                rest = sig << np.uint64(bits)
+                high = (rest >> np.uint64(32)).astype(np.uint32)
+                low = ((rest >> np.uint64(24)) & np.uint64(0xFF)).astype(np.uint8)
                 blobs = [(high[x:y].tobytes(), low[x:y].tobytes(), owner[x:y].tobytes()) for x, y in zip(cut[b], cut[b + 1])]
                 m = part.num_rows
                 yield pa.RecordBatch.from_arrays(
@@ -147,8 +184,10 @@ def _signer(n: int, threshold: float):
                         *(pa.concat_arrays([pa.array([x[i] for x in blobs], pa.binary()), pa.nulls(m, pa.binary())]) for i in range(3)),
                         pa.concat_arrays([pa.nulls(len(b), pa.int64()), part.column("doc_id")]),
                         pa.concat_arrays([pa.nulls(len(b), pa.int64()), pa.array(ids.view(np.int64))]),
+                        pa.concat_arrays([pa.nulls(len(b), pa.int32()), pa.array(np.diff(first).astype(np.int32))]),
+                        pa.concat_arrays([pa.nulls(len(b), pa.binary()), pa.array(parity_maps(gram, first), pa.binary())]),
                     ],
-                    ["bucket", "high", "low", "owners", "doc_id", "node"],
+                    ["bucket", "high", "low", "owners", "doc_id", "node", "size", "parity"],
                 )
 
     return run
@@ -225,57 +264,96 @@ def _earlier(centre: int, centres: pa.ChunkedArray) -> np.ndarray:
     return bits
 
 
-def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops the members of a centre's group that have no pair to be compared there."""
-    nodes, centres, lists = [], [], []
-    for group in _groups(batches, "centre"):
-        if group.num_rows < 2:
-            continue
-        centre = group.column("centre")[0].as_py()
-        bits = _earlier(centre, group.column("centres"))
-        free = ~bits.any(axis=1)
-        if free.all():
-            keep = free
-        else:
-            # rows of equal bits are one; few kinds are left
-            kinds, which, times = np.unique(bits, axis=0, return_inverse=True, return_counts=True)
-            which = which.ravel()
-            apart = np.array([int(times[~(kinds & kind).any(axis=1)].sum()) - (not kind.any()) for kind in kinds])
-            keep = apart[which] > 0
-        if keep.sum() > 1:
-            kept = group.filter(pa.array(keep)).combine_chunks()
-            yield from kept.to_batches()
-    del nodes, centres, lists
-
-
-def _features(n: int):
+def _near(size: np.ndarray, parity: list[bytes], a: int, until: int, threshold: float) -> np.ndarray:
+    """Which of the sets after ``a`` up to ``until`` can be similar to it, by their parity maps."""
+    out = np.zeros(until - a - 1, bool)
+    own = np.frombuffer(parity[a], np.uint64)
+    most = (size[a] + size[a + 1 : until]) * (1 - threshold) / (1 + threshold) + 1e-9
+    width = np.array([len(p) for p in parity[a + 1 : until]])
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        maps = np.frombuffer(b"".join(parity[a + 1 + k] for k in at.tolist()), np.uint64).reshape(len(at), -1)
+        while maps.shape[1] > len(own):
+            half = maps.shape[1] // 2
+            maps = maps[:, :half] ^ maps[:, half:]
+        out[at] = np.bitwise_count(maps ^ own).sum(axis=1, dtype=np.int64) <= most[at]
+    return out
+
+
+def _plausible(threshold: float):
+    """Drops the members of a centre's group that have no partner there that can be similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                gram, first = feature_sets(normalised(part.column("text")), n)
-                blobs = [gram[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(blobs, pa.binary())], ["node", "features"])
+        for group in _groups(batches, "centre"):
+            m = group.num_rows
+            if m < 2:
+                continue
+            bits = _earlier(group.column("centre")[0].as_py(), group.column("centres"))
+            size = group.column("size").to_numpy()
+            order = np.lexsort((group.column("node").to_numpy(), size))
+            bits, size = bits[order], size[order]
+            parity = group.column("parity").to_pylist()
+            parity = [parity[k] for k in order.tolist()]
+            keep = np.zeros(m, bool)
+            for a in range(m - 1):
+                end = int(np.searchsorted(size, size[a] / threshold + 1e-9, "right"))
+                if end <= a + 1:
+                    continue
+                good = _near(size, parity, a, end, threshold)
+                good &= ~(bits[a + 1 : end] & bits[a]).any(axis=1)
+                if good.any():
+                    keep[a] = True
+                    keep[a + 1 : end] |= good
+            if keep.any():
+                yield from group.select(["doc_id", "node", "centres", "centre"]).take(pa.array(np.sort(order[keep]))).combine_chunks().to_batches()
 
     return run
 
 
-def _compare(threshold: float):
-    """Exact similarities of the pairs that a centre's group is the one to compare."""
+def _featured(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Texts replaced by their features; rows whose text is not that of the node, as its id is not unique, go."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            gram, first = feature_sets(normalised(part.column("text")), n)
+            blobs = pa.array([gram[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.large_binary())
+            own = part.column("node").to_numpy().view(np.uint64) == set_ids(gram, first)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("centre"), part.column("node"), part.column("centres"), blobs], ["centre", "node", "centres", "features"]
+            ).filter(pa.array(own))
+
+
+def _root(parent: list[int], k: int) -> int:
+    while parent[k] != k:
+        parent[k] = parent[parent[k]]
+        k = parent[k]
+    return k
+
+
+def _compare(threshold: float, n: int, forest: bool):
+    """Exact similarities of the pairs that a centre's group is the one to compare.
+
+    With ``forest``, pairs that others connect already are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "centre"):
+        for group in _groups(_featured(batches, n), "centre"):
             m = group.num_rows
             if m < 2:
                 continue
+            _, once = np.unique(group.column("node").to_numpy(), return_index=True)
+            if len(once) < m:
+                group, m = group.take(pa.array(once)), len(once)
             bits = _earlier(group.column("centre")[0].as_py(), group.column("centres"))
             node = group.column("node").to_numpy()
             sets = group.column("features").to_pylist()
             size = np.array([len(s) // 8 for s in sets])
-            order = np.argsort(size, kind="stable")
+            order = np.lexsort((node, size))
             bits, node, size = bits[order], node[order], size[order]
-            _, flat = np.unique(np.frombuffer(b"".join(sets[k] for k in order), np.uint64), return_inverse=True)
+            _, flat = np.unique(np.frombuffer(b"".join(sets[k] for k in order.tolist()), np.uint64), return_inverse=True)
+            del sets, group
             first = np.concatenate([[0], np.cumsum(size)])
             mark = np.zeros(int(flat.max()) + 1, np.uint8)
+            parent = list(range(m))
             a_out, b_out, j_out = [], [], []
             for a in range(m - 1):
                 # partners of at least this size, up to the largest that can be similar
@@ -283,6 +361,9 @@ def _compare(threshold: float):
                 if end <= a + 1:
                     continue
                 open_ = ~(bits[a + 1 : end] & bits[a]).any(axis=1)
+                if forest:
+                    mine = _root(parent, a)
+                    open_ &= np.array([_root(parent, k) != mine for k in range(a + 1, end)])
                 if not open_.any():
                     continue
                 mark[flat[first[a] : first[a + 1]]] = 1
@@ -290,6 +371,9 @@ def _compare(threshold: float):
                 mark[flat[first[a] : first[a + 1]]] = 0
                 total = size[a] + size[a + 1 : end] - both
                 ok = np.flatnonzero(open_ & (both >= threshold * total - 1e-9))
+                if forest:
+                    for k in (a + 1 + ok).tolist():
+                        parent[_root(parent, k)] = _root(parent, a)
                 a_out.append(np.full(len(ok), node[a]))
                 b_out.append(node[a + 1 + ok])
                 j_out.append(both[ok] / total[ok])
@@ -302,49 +386,61 @@ def _compare(threshold: float):
 
 
 def similar_nodes(
-    docs: DataFrame, threshold: float, n: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float, n: int, id_col: str = "doc_id", text_col: str = "text", forest: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of all documents with words, and (node_a, node_b, jaccard) of the similar nodes."""
+    """(doc_id, node) of all documents with words, and (node_a, node_b, jaccard) of the similar nodes.
+
+    With ``forest``, only as many pairs as connect what is connected.
+    """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    schema = "bucket int, high binary, low binary, owners binary, doc_id long, node long"
-    signed = stored(source.mapInArrow(_signer(n, threshold), schema), "ngram-signatures")
-    members = signed.where("bucket IS NULL AND node <> 0").select("doc_id", "node")
-    stars = signed.where("bucket IS NOT NULL").select("bucket", "high", "low", "owners").repartition("bucket").mapInArrow(_stars, "centre long, node long")
+    # as many ranges of signatures as partitions, several over; their number follows the setting that follows the data
+    ranges = min(16, max(8, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    schema = "bucket int, high binary, low binary, owners binary, doc_id long, node long, size int, parity binary"
+    signed, signed_at = stored_at(source.mapInArrow(_signer(n, threshold, ranges), schema), "ngram-signatures")
+    known = stored(signed.where("bucket IS NULL AND node <> 0").select("doc_id", "node", "size", "parity"), "ngram-members")
+    runs = signed.where("bucket IS NOT NULL").select("bucket", "high", "low", "owners").repartition("bucket")
+    stars = stored(runs.mapInArrow(_stars, "centre long, node long"), "ngram-stars")
+    del signed, runs
+    discard(spark, signed_at)
     centres = stars.groupBy("node").agg(F.collect_set("centre").alias("centres"))
-    spread = centres.select("node", "centres", F.explode("centres").alias("centre"))
-    owned = stored(
-        spread.repartition("centre").sortWithinPartitions("centre").mapInArrow(_owned, "node long, centres array<long>, centre long"), "ngram-groups"
-    )
-    wanted = owned.select("node").distinct()
-    one = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    texts = source.join(one, "doc_id").dropDuplicates(["node"]) if False else source.join(one, "doc_id")
-    features = texts.select("node", "text").mapInArrow(_features(n), "node long, features binary").dropDuplicates(["node"])
+    one = known.groupBy("node").agg(F.min_by(F.struct("doc_id", "size", "parity"), "doc_id").alias("m")).select("node", "m.*")
+    spread = centres.join(one, "node").select("doc_id", "node", "centres", "size", "parity", F.explode("centres").alias("centre"))
+    grouped = spread.repartition("centre").sortWithinPartitions("centre")
+    owned = stored(grouped.mapInArrow(_plausible(threshold), "doc_id long, node long, centres array<long>, centre long"), "ngram-groups")
+    wanted = stored(owned.groupBy("doc_id", "node").agg(F.first("centres").alias("centres"), F.collect_list("centre").alias("groups")), "ngram-wanted")
+    del centres, one, spread, grouped
+    release(spark)
+    held = wanted.agg(F.coalesce(F.sum(24 + 8 * (F.size("centres") + F.size("groups"))), F.lit(0))).first()[0]
+    texts = source.join(F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted, "doc_id")
     pairs = (
-        owned.join(features, "node")
-        .select("centre", "node", "centres", "features")
+        texts.select(F.explode("groups").alias("centre"), "node", "centres", "text")
         .repartition("centre")
         .sortWithinPartitions("centre")
-        .mapInArrow(_compare(threshold), "node_a long, node_b long, jaccard double")
+        .mapInArrow(_compare(threshold, n, forest), "node_a long, node_b long, jaccard double")
     )
-    return members, stored(pairs, "ngram-pairs")
+    return known.select("doc_id", "node"), stored(pairs, "ngram-pairs")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.75, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All pairs of documents with n-gram Jaccard similarity of at least ``threshold``.
 
-    Returns (doc_a, doc_b, jaccard), doc_a < doc_b, each pair once.
+    Returns (doc_a, doc_b, jaccard), doc_a < doc_b, each pair once; a pair at
+    the threshold is found with a probability of 0.999 or so, and a more
+    similar one almost surely.  The similarities are exact.
 
     Words are runs of letters and digits, lower-cased.  A text of fewer than n
     words, but one at least, has one n-gram.  Null, empty and wordless texts
-    have no n-gram and are in no pair; so are rows with a null id.  Rows that
-    repeat an id must repeat its text (rows of one id are not paired with each
-    other).  Other columns are ignored; an empty table gives an empty result.
+    have no n-gram and are in no pair; so are rows with a null id.  Rows of
+    one id are not paired with each other; where they have several texts, each
+    is compared, so that a pair of ids may have several rows.  Other columns
+    are ignored; an empty table gives an empty result.
     """
     members, similar = similar_nodes(docs, threshold, n, id_col, text_col)
-    left = members.distinct().select(F.col("doc_id").alias("doc_x"), F.col("node").alias("node_a"))
-    right = members.distinct().select(F.col("doc_id").alias("doc_y"), F.col("node").alias("node_b"))
-    unlike = similar.join(left, "node_a").join(right, "node_b").select("doc_x", "doc_y", "jaccard")
+    members = members.distinct()
+    left = members.select(F.col("doc_id").alias("doc_x"), F.col("node").alias("node_a"))
+    right = members.select(F.col("doc_id").alias("doc_y"), F.col("node").alias("node_b"))
+    unlike = similar.join(left, "node_a").join(right, "node_b").where("doc_x <> doc_y").select("doc_x", "doc_y", "jaccard")
     alike = left.join(right, F.col("node_a") == F.col("node_b")).where("doc_x < doc_y").select("doc_x", "doc_y", F.lit(1.0).alias("jaccard"))
     return unlike.unionByName(alike).select(
         F.least("doc_x", "doc_y").alias("doc_a"), F.greatest("doc_x", "doc_y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard")
@@ -373,14 +469,14 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def deduplicate(docs: DataFrame, threshold: float = 0.75, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies: the row with the least id stays, all columns kept.
 
     Groups are the connected components of :func:`jaccard_join`, taken on
     distinct sets, so copies never multiply into pairs.  Rows without n-grams
     or without an id stay.  Rows that repeat an id all stay or all go.
     """
-    members, similar = similar_nodes(docs, threshold, n, id_col, text_col)
+    members, similar = similar_nodes(docs, threshold, n, id_col, text_col, forest=True)
     roots = connected(similar.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     grouped = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("doc_id").alias("first"))

@@ -70,7 +70,7 @@ JACCARD_SQL = f"""
 WITH s AS ({_windows("documents", "doc_id", 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE shared >= 0.75 * (x.n + y.n - shared)
+WHERE shared >= 0.55 * (x.n + y.n - shared)
 """
 
 HITS_SQL = f"""
