@@ -14,6 +14,7 @@ from siltstone.functions import scalar as S
 from siltstone.operators import graph as G
 from siltstone.operators import relational as R
 from siltstone.schema import FINDING_COLUMNS, INITIALISMS, SECRETS, TODO
+from siltstone.storage import stored
 
 
 def _col(x) -> Column:
@@ -132,11 +133,11 @@ def external_users(uses: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def propagated(users: DataFrame, type_refs: DataFrame, max_rounds: int = 20) -> DataFrame:
     """Users of a symbol use what its signature names (owner, ref), and so on until nothing is new."""
-    known = G.stored(users.distinct(), "users")
+    known = stored(users.distinct(), "users")
     front = known
     for _ in range(max_rounds):
         step = front.join(type_refs, F.col("symbol") == F.col("owner")).select(F.col("ref").alias("symbol"), "using_pkg").distinct()
-        front = G.stored(step.join(known, ["symbol", "using_pkg"], "left_anti"), "users")
+        front = stored(step.join(known, ["symbol", "using_pkg"], "left_anti"), "users")
         if front.isEmpty():
             break
         known = known.unionByName(front)

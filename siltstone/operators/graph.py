@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.storage import stored  # noqa: F401
+from siltstone.storage import stored
 
 #: The parts of a growing relation are merged into one after so many rounds.
 COMPACT = 8
@@ -142,15 +142,17 @@ def paths(edges: DataFrame, start: DataFrame, max_depth: int = 10, backward: boo
     Backward paths go against the edges and are listed from their far end.
     """
     e = reversed_edges(edges) if backward else edges
-    e = e.select("src", "dst").distinct()
-    front = start.select(F.array(F.col(start.columns[0])).alias("path"))
+    e = stored(e.select("src", "dst").distinct(), "paths")
+    front = stored(start.select(F.array(F.col(start.columns[0])).alias("path")), "paths")
     ended: list[DataFrame] = []
     for _ in range(max_depth):
         last = F.element_at("path", -1)
-        onward = front.join(e, last == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        stop = front.join(e, (last == F.col("src")) & ~F.array_contains("path", F.col("dst")), "left_anti")
-        ended.append(stop)
-        front = onward.select(F.concat("path", F.array("dst")).alias("path"))
+        step = front.join(e, (last == F.col("src")) & ~F.array_contains("path", F.col("dst")), "left")
+        step = stored(step.select("path", "dst"), "paths")
+        ended.append(step.where("dst IS NULL").select("path"))
+        front = step.where("dst IS NOT NULL").select(F.concat("path", F.array("dst")).alias("path"))
+        if front.isEmpty():
+            break
     out = reduce(DataFrame.unionByName, [*ended, front])
     return out.select(F.reverse("path").alias("path")) if backward else out
 

@@ -23,7 +23,7 @@ def stripped(text: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(file, line, text) of the files below a folder; lines from 1."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     files = whole.select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
 
