@@ -44,33 +44,58 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
-def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (one in each row) and how often each is used, in the linear program's optimum."""
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots.
+
+    Written out, since the linear algebra library's threads may never wake in
+    a process that has started a JVM after they were made.
+    """
+    m = len(a)
+    both = np.concatenate([a.astype(float), np.eye(m)], axis=1)
+    for k in range(m):
+        pivot = k + int(np.argmax(np.abs(both[k:, k])))
+        if pivot != k:
+            both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0.0
+        both -= factor[:, None] * both[k]
+    return both[:, m:]
+
+
+def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20_000, slack: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (one in each row) and how often each is used, in the linear program's optimum.
+
+    The optimum is within a share ``slack``, by the bound that prices give.
+    Demands are scaled, and changed by less than a millionth, each by another
+    share, so that no two ratios are equal and the simplex method cannot turn
+    in circles; the returned solution is that of the given demands.  The
+    inverse is made anew every few rounds, as updates of it gather errors.
+    """
     m = len(size)
+    if not m:
+        return np.zeros((0, 0), np.int64), np.zeros(0)
     basis = np.diag((capacity // size).astype(float))
-    inverse = np.linalg.inv(basis)
-    x = inverse @ demand
+    asked = demand / demand.max() + np.random.default_rng(1).uniform(1e-7, 1e-6, m)
+    inverse = inverted(basis)
     for k in range(rounds):
-        price = inverse.sum(axis=0)
-        worth, pattern = knapsack(price, size, capacity)
-        if worth <= 1 + 1e-9:
+        x = np.maximum((inverse * asked).sum(axis=1), 0.0)
+        worth, pattern = knapsack(inverse.sum(axis=0), size, capacity)
+        if worth <= 1 + slack:
             break
-        direction = inverse @ pattern
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(direction > 1e-10, x / direction, np.inf)
+        direction = (inverse * pattern).sum(axis=1)
+        rising = direction > 1e-9
+        ratio = np.full(m, np.inf)
+        ratio[rising] = x[rising] / direction[rising]
         out = int(np.argmin(ratio))
-        step = ratio[out]
-        x = np.maximum(x - step * direction, 0.0)
-        x[out] = step
         basis[:, out] = pattern
-        if k % 50 == 49:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0.0)
+        if k % 20 == 19:
+            inverse = inverted(basis)
         else:
             row = inverse[out] / direction[out]
-            inverse = inverse - np.outer(direction, row)
+            inverse = inverse - direction[:, None] * row
             inverse[out] = row
-    return basis.T.round().astype(np.int64), x if m else np.zeros(0)
+    return basis.T.round().astype(np.int64), np.maximum((inverted(basis) * demand).sum(axis=1), 0.0)
 
 
 def plan(classes: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
