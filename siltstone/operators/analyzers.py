@@ -121,7 +121,7 @@ def feature_flags(build_tags: DataFrame, lookups: DataFrame) -> DataFrame:
 
 def registered_flags(calls: DataFrame) -> DataFrame:
     """calls: file, line, qualifier, selector, literal: every flag that is registered."""
-    rows = calls.where(F.col("literal").isNotNull() & (F.col("qualifier") == "flag") & F.col("selector").isin("Bool", "String", "Int", "Float64", "Duration"))
+    rows = calls.where(F.col("literal").isNotNull() & (F.col("qualifier") == "flag") & F.col("selector").isin(*"Bool Duration Float64 Int String".split()))
     return finding(rows, "dead-flags", "code-smell", "warning", "DF002", _text("flag ", F.col("literal"), " is registered"))
 
 

@@ -82,7 +82,7 @@ def _self_recursion(f: Facts, c: Config) -> DataFrame:
 def _thin(f: Facts, c: Config) -> DataFrame:
     d = f.functions()
     own = F.lower(F.substring("name", 1, 1)).eqNullSafe(F.substring("wraps", 1, 1)) & (F.substring("name", 2, 1 << 20) == F.substring("wraps", 2, 1 << 20))
-    exempt = own | F.col("name").isin("String", "Clean", "Format", "Stringer", "Value", "main", "init") | (F.col("recv") != "")
+    exempt = own | F.col("name").isin(*"Clean Format String Stringer Value init main".split()) | (F.col("recv") != "")
     return A.thin_wrappers(d.select("file", "line", "end_line", "name", "stmt_count", F.col("wraps").alias("calls_only"), exempt.alias("exempt")))
 
 

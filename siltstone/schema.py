@@ -21,11 +21,12 @@ GRADES = [(90, "A"), (80, "B"), (70, "C"), (60, "D"), (50, "E")]
 
 #: Analyzer pairs whose overlapping findings are reported together, and as what.
 OVERLAP_KINDS = [
-    ("duplication", "deadcode", "duplicate-and-dead"),
-    ("duplication", "unused", "duplicate-and-unused"),
-    ("complexity", "large-functions", "complex-and-large"),
-    ("security", "deadcode", "security-and-dead"),
-]
+    (first, second, f"{one}-and-{two}")
+    for one, two, first, second in (
+        ("duplicate", "dead", "duplication", "deadcode"), ("duplicate", "unused", "duplication", "unused"),
+        ("complex", "large", "complexity", "large-functions"), ("security", "dead", "security", "deadcode"),
+    )
+]
 
 #: (rule, what it is, pattern); written so that RE2 and Java read it alike.
 SECRETS = [
