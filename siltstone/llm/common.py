@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by one numpy pass (a longer single text is handled alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
