@@ -35,8 +35,9 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, _HIDDEN, "")
     text = F.regexp_replace(text, _BLOCK, "\n")
     text = unescaped(F.regexp_replace(text, r"<[^>]*>", ""))
-    text = F.regexp_replace(text, r"[ \t\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    # a single space is left as it is rather than replaced by itself
+    text = F.regexp_replace(text, r"[ \t\r]{2,}|[\t\r]", " ")
+    return F.btrim(F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def _urn(*parts: Column) -> Column:
@@ -70,7 +71,7 @@ def derivatives(pages: DataFrame, date: str = DATE, headers_col: str | None = No
     title = F.regexp_replace(unescaped(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)), r"[ \t\r\n]+", " ")
     metadata = F.concat(
         F.lit("title: "), title, F.lit("\r\nsource-digest: "), F.col("digest"), F.lit("\r\nsource-length: "), F.octet_length("html").cast("string"), F.lit("\r\n"),
-        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), unescaped(x), F.lit("\r\n"))), ""),
+        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.when(F.contains(x, F.lit("&")), unescaped(x)).otherwise(x), F.lit("\r\n"))), ""),
     )
     blocks = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
