@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,8 +47,10 @@ _MARKS = re.compile(r"(?:[!|+(]|([$@])\1\1+)+$")
 _THRICE = re.compile(rf"({_LETTER})\1\1")
 _CYRILLIC = re.compile(r"[а-яѕі]")
 WORD = re.compile(rf"{_LETTER}+")
-#: A stretch of more glyphs is no word and is left as it is.
+#: The readings of stretches of more characters are not remembered.
 LONGEST = 64
+#: Bytes in which a word spelled out is looked for first; twice as many each time it goes on.
+_WINDOW = 256
 _LOG_SUBSTITUTE, _LOG_KEEP, _LOG_REPEAT, _LOG_DOUBLE = math.log(0.2), math.log(0.001), math.log(0.3), math.log(0.1)
 _LOG_SPACE = math.log(0.05)
 BOUNDS = (3.0, 4.0, 5.0, 6.0)
@@ -149,23 +151,51 @@ def readings(text: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _before(a: tuple | None, b: tuple | None) -> bool:
+    """Whether the letters of path ``a`` come before those of ``b``, looking back no further than to where they part."""
+    shorter = (a[2] if a else 0) < (b[2] if b else 0)
+    while a is not b and (a[2] if a else 0) > (b[2] if b else 0):
+        a = a[1]
+    while a is not b and (b[2] if b else 0) > (a[2] if a else 0):
+        b = b[1]
+    first = shorter
+    while a is not b:
+        if a[0] != b[0]:
+            first = a[0] < b[0]
+        a, b = a[1], b[1]
+    return first
+
+
 def viterbi(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The best path's letters; ties go to the path that is first in order."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The best path's letters; ties go to the path that is first in order.
+
+    A path is its last letter, the path before it and its length, so the work
+    is linear in the lattice.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for stands in lattice:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in states.items():
             for c, cost in stands:
                 if c:
                     k = _code(c)
-                    key, new = (b, k), (score + cost + model[a, b, k], path + c)
+                    key, new = (b, k), (score + cost + model[a, b, k], (c, path, path[2] + 1 if path else 1))
                 else:
                     key, new = (a, b), (score + cost, path)
                 old = after.get(key)
-                if old is None or (-new[0], new[1]) < (-old[0], old[1]):
+                if old is None or new[0] > old[0] or (new[0] == old[0] and _before(new[1], old[1])):
                     after[key] = new
         states = after
-    return min(((-(s + model[a, b, 0]), path) for (a, b), (s, path) in states.items()))[1]
+    best = None
+    for (a, b), (score, path) in states.items():
+        new = (score + model[a, b, 0], path)
+        if best is None or new[0] > best[0] or (new[0] == best[0] and _before(path, best[1])):
+            best = new
+    path, letters = best[1], []
+    while path:
+        letters.append(path[0])
+        path = path[1]
+    return "".join(reversed(letters))
 
 
 def _classes() -> np.ndarray:
@@ -232,13 +262,24 @@ def triggers(data: np.ndarray) -> np.ndarray:
 class Restorer:
     """Decodes the suspect stretches of texts; the readings of a stretch are remembered."""
 
-    def __init__(self, model: np.ndarray, remember: int = 200_000):
+    def __init__(self, model: np.ndarray, remember: int = 200_000, words: Iterable[str] = ()):
         self.model, self.known, self.remember = model, {}, remember
+        # an ending of one or two letters stays with its word
+        longest_first = sorted((w for w in words if len(w) > 3), key=lambda w: (-len(w), w))
+        self.words = re.compile(rf"({'|'.join(map(re.escape, longest_first))})(?!{_LETTER}{{1,2}}(?!{_LETTER}))") if longest_first else None
+
+    def phrase(self, seen: str) -> str:
+        """The best reading of a stretch that is spelled out, with the given words apart from what is joined to them.
+
+        The character model alone does not see where the words of a phrase end.
+        """
+        best = self.decode(seen)
+        return re.sub(" +", " ", self.words.sub(r" \1 ", best)).strip(" ") if self.words else best
 
     def decode(self, seen: str) -> str:
         """The best reading of one stretch."""
         if len(seen) > LONGEST:
-            return seen
+            return viterbi(readings(seen), self.model)
         if seen not in self.known:
             if len(self.known) >= self.remember:
                 self.known.clear()
@@ -267,14 +308,18 @@ class Restorer:
             # a word spelled out begins at its first glyph
             spelled = None
             if end - t <= 3 or data[t + 1 : t + 2] in (b".", b"-", b"_", b"*", b"~") or data[t] >= 0xC0:
-                window = data[t : t + 512]
-                while window and len(window) == 512 and (window[-1] & 0xC0) == 0x80:
-                    window = data[t : t + len(window) + 1]
-                spelled = SPELLED.match(data[t : t + 4 * LONGEST].decode("utf-8", "ignore"))
+                size = _WINDOW
+                while True:
+                    window = data[t : t + size].decode("utf-8", "ignore")
+                    spelled = SPELLED.match(window)
+                    # two separators, a glyph and what follows it are all that decides whether the word goes on
+                    if t + size >= len(data) or not spelled or spelled.end() + 4 <= len(window):
+                        break
+                    size *= 2
             if spelled:
                 stretch = spelled.group()
                 begin, end = t, t + len(stretch.encode())
-                new = self.decode(stretch)
+                new = self.phrase(stretch)
             else:
                 stretch = data[begin:end].decode("utf-8", "ignore")
                 new = _RUN.sub(self._run, stretch)
@@ -436,7 +481,7 @@ def _first_three(word: bytes) -> int:
 
 def _judge(classifier: Classifier, model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model)
+        restore = Restorer(model, words=[f[:-1] for f in classifier.lexicon if f.endswith("$")])
         own = Classifier(classifier.lexicon, classifier.log_ratio, classifier.rate_gap, classifier.threshold)
         heads = np.zeros(1 << 24, bool)
         heads[[_first_three(f.removesuffix("$").encode()) for f in own.lexicon]] = True

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -306,6 +307,44 @@ def test_restores_obfuscated_words(spark):
         assert restore(plain) == (plain, 0)
 
 
+def test_restores_long_stretches(spark):
+    texts = ["you are a rotten villain and the people who stole a golden crown were angry"] * 20
+    counts = toxicity.character_counts(docs_of(spark, list(enumerate(texts))))
+    restore = toxicity.Restorer(toxicity.log_model(counts, ["villain", "rotten"]))
+    phrase = "youarearottenvillainandthepeoplewhostoleagoldencrownwereangry"
+    for seen in (" ".join(phrase), ".".join(phrase), "  ".join(phrase * 20), "v1ll41n" * 40, "v" + "i" * 5000 + "llain", " ".join("r0tt3n" * 200)):
+        got, changed = restore(f"the {seen}")
+        assert changed == 1
+        assert got.removeprefix("the ").replace(" ", "") == re.sub("i+", "i", re.sub("[ .]", "", seen).translate(str.maketrans("0134", "oiea")))
+    apart = toxicity.Restorer(restore.model, words=["villain", "rotten"])
+    for sep in (" ", ".", "  "):
+        got, _ = apart("the " + sep.join(phrase))
+        assert {"rotten", "villain"} <= set(got.split())
+        got, _ = apart("the " + sep.join("v1llain"))
+        assert got == "the villain"
+
+
+def brute_best(lattice, model):
+    def score(path):
+        codes = [0, 0, *(toxicity._code(c) for c, _ in path if c), 0]
+        return sum(w for _, w in path) + sum(model[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    return max(score(p) for p in itertools.product(*lattice)), score
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.ones(32), (32, 32)))
+    for seen in ("v1|l", "aaab4", "h00k", "m.0.r", "ssss0", "1|1", "aabb"):
+        lattice = toxicity.readings(seen)
+        best, score = brute_best(lattice, model)
+        got = toxicity.viterbi(lattice, model)
+        assert any("".join(c for c, _ in p) == got and abs(score(p) - best) < 1e-9 for p in itertools.product(*lattice))
+    # of equally good paths, the first in order
+    assert toxicity.viterbi([[("b", 0.0), ("a", 0.0)]] * 50, np.zeros((32, 32, 32))) == "a" * 50
+    assert toxicity.viterbi([[("a", 0.0)], [("b", 0.0), ("", 0.0)]] * 50, np.zeros((32, 32, 32))) == "a" * 50
+
+
 def toxic_corpus(rng, n):
     bad = ["gorblat", "snivelor", "krudge", "vilmox"]
     disguise = {"o": "0", "i": "1", "e": "3", "a": "4"}
