@@ -15,12 +15,16 @@ sequences by a join with the small table of ranges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.llm.common import stored
+from siltstone.llm.common import as_strings, slices, stored
+from siltstone.llm.tokens import VOCABULARY, encode
 
 
 def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -132,6 +136,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
+def _token_counter(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, first = encode(as_strings(part.column("text")).to_pylist(), path)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first))], ["doc_id", "n_tokens"])
+
+    return run
+
+
+def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens) of every row: the tokens of its whole text.  Null and empty texts have none."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(_token_counter(vocabulary), "doc_id long, n_tokens long")
+
+
 def pack(
     docs: DataFrame, capacity: int = 2048, step: int = 16, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 200_000
 ) -> DataFrame:

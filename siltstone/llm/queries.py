@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, kneser_ney, ngram_join, packing, quality, sharding, token_counts, token_store, toxicity, warc
 from siltstone.llm.common import read_table
@@ -39,7 +40,8 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    lengths = packing.token_lengths(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return packing.pack(lengths, length=F.col("n_tokens"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

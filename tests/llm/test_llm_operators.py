@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, kneser_ney, ngram_join, packing, quality, sharding, token_counts, token_store, toxicity, warc
+from siltstone.llm import decontamination, kneser_ney, ngram_join, packing, quality, queries, sharding, token_counts, token_store, toxicity, warc
 from siltstone.llm.common import normalised, word_hashes
 from siltstone.llm.tokens import VOCABULARY, encoder
 
@@ -457,6 +457,20 @@ def test_packing_odd(spark, odd, none):
         packing.pack(odd, 100, 16)
 
 
+def test_packing_query_counts_tokens(spark, tmp_path):
+    own, _ = encoder(VOCABULARY)
+    rows = [*ODD, (20, "漢字" * 4_000), (21, "QmFzZTY0" * 3_000), (22, "don't pack words, 3.14 of them")]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    expected, fill, got = Counter(), Counter(), Counter()
+    for i, t in rows:
+        expected[i] += len(own.encode_ordinary(t or ""))
+    for r in queries.op8_packing(spark, str(tmp_path)).collect():
+        fill[r.sequence] += math.ceil(r.length / 16) * 16
+        got[r.doc_id] += r.length
+    assert got == +expected
+    assert max(fill.values()) <= 2048
+
+
 def test_column_generation_against_the_linear_program():
     size, demand = np.array([3, 5, 7]), np.array([30.0, 20.0, 11.0])
     patterns, x = packing.column_generation(size, demand, 16)
