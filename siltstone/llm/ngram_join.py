@@ -2,12 +2,11 @@
 
 A document is the set of hashes of its n consecutive words.
 
-Scheme.  Sizes are cut into bands of ratio two.  A band's features are those
-of the whole domain, or, for large sets, of a fixed share of it, so that a set
-has 64 to 128 of them.  Each band hashes this domain into partitions of three
-parts.  Sets that differ little agree, in some partition, on some two of its
-three parts; the signature of each two of three parts (band, partition, which
-two, and the elements in them) is what such sets share.  The number of
+Scheme.  Sizes are cut into bands of ratio two.  Each band hashes the feature
+domain into partitions of three parts.  Sets that differ little agree, in some
+partition, on some two of its three parts; the signature of each two of three
+parts (band, partition, which two, and the elements in them) is what such sets
+share.  All features take part, whatever the size of the set.  The number of
 partitions is the least for which a pair at the threshold, of the sizes at the
 top of a band, shares no signature with a probability of :data:`MISS` at most;
 more similar pairs are missed far more rarely.  A set also enumerates
@@ -18,13 +17,15 @@ Sets that share a signature form a run.  Joining each with the run's least
 member only (its centre) keeps the work linear in a run: two sets with a
 shared signature have a common centre, and the pair is compared at the least
 centre that they have in common, once.  Documents with equal sets are one node
-of the join.
+of the join.  A centre with many sets is cut into blocks, each pair of blocks
+being a group of its own, so no task holds more than two blocks.
 
 Comparison is in two steps.  Each node has a small parity map of its set: the
 number of bits in which two maps differ is at most the number of features in
 which the sets differ, so pairs that differ in too many bits are dropped
-without an error.  Texts of what remains go to the centres and are compared
-exactly.
+without an error.  Texts of what remains go to the groups and are compared
+exactly.  A group returns the number of links of each of its nodes, and no
+more edges than connect what is connected: never its pairs.
 """
 
 from __future__ import annotations
@@ -38,16 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import discard, mix, ngram_hashes, normalised, release, slices, stored, stored_at, word_hashes
+from siltstone.llm.common import mix, ngram_hashes, normalised, slices, stored, word_hashes
 
 #: Copies with a few words changed are above this; unrelated texts are far below.
 THRESHOLD = 0.55
 #: Sizes below this are one band, in which every feature is a partition of its own.
 SMALL = 16
-#: Larger sets are sampled, each band by a power of two, to fewer features than this.
-SAMPLED = 128
 #: The most that the probability of missing a pair at the threshold may be.
-MISS = 1e-3
+MISS = 1e-6
+#: Sets of one centre that are compared with each other in one group; a group of two blocks has twice as many.
+BLOCK = 1024
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Up to this size the list of documents to compare is sent to every task; beyond, it is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -79,19 +80,12 @@ def band_of(size: np.ndarray) -> np.ndarray:
     return np.where(size < SMALL, 0, np.floor(np.log2(np.maximum(size, SMALL) / SMALL)).astype(np.int64) + 1)
 
 
-def sampling_of(band: int) -> int:
-    """The number of halvings of a band's domain."""
-    return max(0, band + int(math.log2(SMALL)) - int(math.log2(SAMPLED)))
-
-
 @lru_cache(1000)
 def partitions_of(band: int, threshold: float) -> int:
     """The number of first-level partitions of a band's scheme, by the probability of a miss."""
-    size = SMALL * 2**band / 2 ** sampling_of(band)
+    size = SMALL * 2**band
     differ = 2 * size * (1 - threshold) / (1 + threshold)
-    if sampling_of(band):
-        differ += 1.5 * math.sqrt(differ)
-    for n in range(2, int(size) + 2):
+    for n in range(2, size + 2):
         clean = math.exp(-differ / (3 * n))
         if (1 - (3 * clean**2 - 2 * clean**3)) ** n <= MISS:
             break
@@ -114,10 +108,6 @@ def signatures(gram: np.ndarray, first: np.ndarray, ids: np.ndarray, threshold:
             at = np.repeat(first[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             features = gram[at]
             row = np.repeat(np.arange(len(rows)), count)
-            halvings = sampling_of(scheme)
-            if halvings:
-                kept = mix(features ^ np.uint64(0xA11CE)) >> np.uint64(64 - halvings) == 0
-                features, row = features[kept], row[kept]
             if scheme == 0:
                 out_sig.append(mix(features ^ np.uint64(0x5EED)))
                 out_id.append(ids[rows][row])
@@ -151,43 +141,54 @@ def parity_maps(gram: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [parity[a:b] for a, b in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist())]
 
 
+def _members(n: int):
+    """Rows of (doc_id, text_hash, node, size, parity); the node of a text without n-grams is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                gram, first = feature_sets(normalised(part.column("text")), n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), part.column("text_hash"), pa.array(set_ids(gram, first).view(np.int64)),
+                        pa.array(np.diff(first).astype(np.int32)), pa.array(parity_maps(gram, first), pa.binary()),
+                    ],
+                    ["doc_id", "text_hash", "node", "size", "parity"],
+                )
+
+    return run
+
+
 def _signer(n: int, threshold: float, bits: int):
-    """Rows of (bucket, signatures, set ids) as packed arrays, and of (doc_id, node, size, parity)."""
+    """Rows of (bucket, signatures, set ids) as packed arrays; equal sets of one task are signed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
                 gram, first = feature_sets(normalised(part.column("text")), n)
                 ids = set_ids(gram, first)
-                # equal sets in one slice are signed once
                 _, once = np.unique(ids, return_index=True)
                 mask = np.zeros(len(ids), bool)
                 mask[once] = True
+                mask &= ~np.isin(ids, seen)
+                seen = np.union1d(seen, ids)
                 size = np.where(mask, np.diff(first), 0)
                 begin = np.concatenate([[0], np.cumsum(size)])
                 kept = gram[np.repeat(first[:-1] - begin[:-1], size) + np.arange(begin[-1])]
                 sig, owner = signatures(kept, begin, ids, threshold)
                 bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                sig, owner = sig[order], owner[order]
-                cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                b = np.flatnonzero(np.diff(cut))
+                sig, owner, bucket = sig[order], owner[order], bucket[order]
+                begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+                cuts = list(zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)]))
                 # with the bucket, 40 more bits tell signatures apart
                 rest = sig << np.uint64(bits)
                 high = (rest >> np.uint64(32)).astype(np.uint32)
                 low = ((rest >> np.uint64(24)) & np.uint64(0xFF)).astype(np.uint8)
-                blobs = [(high[x:y].tobytes(), low[x:y].tobytes(), owner[x:y].tobytes()) for x, y in zip(cut[b], cut[b + 1])]
-                m = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([pa.array(b, pa.int32()), pa.nulls(m, pa.int32())]),
-                        *(pa.concat_arrays([pa.array([x[i] for x in blobs], pa.binary()), pa.nulls(m, pa.binary())]) for i in range(3)),
-                        pa.concat_arrays([pa.nulls(len(b), pa.int64()), part.column("doc_id")]),
-                        pa.concat_arrays([pa.nulls(len(b), pa.int64()), pa.array(ids.view(np.int64))]),
-                        pa.concat_arrays([pa.nulls(len(b), pa.int32()), pa.array(np.diff(first).astype(np.int32))]),
-                        pa.concat_arrays([pa.nulls(len(b), pa.binary()), pa.array(parity_maps(gram, first), pa.binary())]),
-                    ],
-                    ["bucket", "high", "low", "owners", "doc_id", "node", "size", "parity"],
+                    [pa.array(bucket[begin].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (high, low, owner))],
+                    ["bucket", "high", "low", "owners"],
                 )
 
     return run
@@ -228,17 +229,20 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The runs of equal keys of batches that are sorted by key."""
+_GROUP = ["centre", "lo", "hi"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of batches that are sorted by centre and its two blocks."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in _GROUP]
+        cuts = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1, [batch.num_rows]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             piece = batch.slice(a, b - a)
-            if rest and rest[0].column(key)[0].as_py() != k[a]:
+            if rest and any(rest[0].column(name)[0].as_py() != k[a] for name, k in zip(_GROUP, keys)):
                 yield pa.Table.from_batches(rest)
                 rest = []
             rest.append(piece)
@@ -246,6 +250,13 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
+def _across(group: pa.Table, order: np.ndarray) -> np.ndarray | None:
+    """Which block each member is in, where the group is of two blocks and only pairs across them are its own."""
+    if group.column("lo")[0].as_py() == group.column("hi")[0].as_py():
+        return None
+    return group.column("block").to_numpy()[order]
+
+
 def _earlier(centre: int, centres: pa.ChunkedArray) -> np.ndarray:
     """For the members of a centre's group, a row of bits: which lesser centres each has."""
     column = centres.combine_chunks()
@@ -280,11 +291,14 @@ def _near(size: np.ndarray, parity: list[bytes], a: int, until: int, threshold:
     return out
 
 
+_PLAUSIBLE = ["doc_id", "text_hash", "node", "copies", "centres", *_GROUP, "block"]
+
+
 def _plausible(threshold: float):
     """Drops the members of a centre's group that have no partner there that can be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "centre"):
+        for group in _groups(batches):
             m = group.num_rows
             if m < 2:
                 continue
@@ -294,6 +308,7 @@ def _plausible(threshold: float):
             bits, size = bits[order], size[order]
             parity = group.column("parity").to_pylist()
             parity = [parity[k] for k in order.tolist()]
+            block = _across(group, order)
             keep = np.zeros(m, bool)
             for a in range(m - 1):
                 end = int(np.searchsorted(size, size[a] / threshold + 1e-9, "right"))
@@ -301,42 +316,49 @@ def _plausible(threshold: float):
                     continue
                 good = _near(size, parity, a, end, threshold)
                 good &= ~(bits[a + 1 : end] & bits[a]).any(axis=1)
+                if block is not None:
+                    good &= block[a + 1 : end] != block[a]
                 if good.any():
                     keep[a] = True
                     keep[a + 1 : end] |= good
             if keep.any():
-                yield from group.select(["doc_id", "node", "centres", "centre"]).take(pa.array(np.sort(order[keep]))).combine_chunks().to_batches()
+                yield from group.select(_PLAUSIBLE).take(pa.array(np.sort(order[keep]))).combine_chunks().to_batches()
 
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each node that a task has."""
+    seen: set[int] = set()
+    for batch in batches:
+        nodes = batch.column("node").to_pylist()
+        new = [k for k, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+        if new:
+            yield batch.take(pa.array(new))
+
+
 def _featured(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Texts replaced by their features; rows whose text is not that of the node, as its id is not unique, go."""
+    """Texts replaced by their features; rows whose text is not that of the node, as hashes can be equal by chance, go."""
     for batch in batches:
         for part in slices(batch, "text"):
             gram, first = feature_sets(normalised(part.column("text")), n)
             blobs = pa.array([gram[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.large_binary())
             own = part.column("node").to_numpy().view(np.uint64) == set_ids(gram, first)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("centre"), part.column("node"), part.column("centres"), blobs], ["centre", "node", "centres", "features"]
-            ).filter(pa.array(own))
-
+            names = [*_GROUP, "block", "node", "copies", "centres"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), blobs], [*names, "features"]).filter(pa.array(own))
 
-def _root(parent: list[int], k: int) -> int:
-    while parent[k] != k:
-        parent[k] = parent[parent[k]]
-        k = parent[k]
-    return k
 
+def _compare(threshold: float, n: int, counted: bool):
+    """Exact comparison of the pairs that a group is the one to compare.
 
-def _compare(threshold: float, n: int, forest: bool):
-    """Exact similarities of the pairs that a centre's group is the one to compare.
-
-    With ``forest``, pairs that others connect already are left out.
+    Rows are (node_a, node_b, null), edges that connect what is similar, and,
+    where ``counted``, (node, null, links), the number of documents that the
+    node is similar to in this group.  Without it, pairs that other edges
+    connect already are not compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(_featured(batches, n), "centre"):
+        for group in _groups(_featured(batches, n)):
             m = group.num_rows
             if m < 2:
                 continue
@@ -344,141 +366,184 @@ def _compare(threshold: float, n: int, forest: bool):
             if len(once) < m:
                 group, m = group.take(pa.array(once)), len(once)
             bits = _earlier(group.column("centre")[0].as_py(), group.column("centres"))
-            node = group.column("node").to_numpy()
+            node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
             sets = group.column("features").to_pylist()
             size = np.array([len(s) // 8 for s in sets])
             order = np.lexsort((node, size))
-            bits, node, size = bits[order], node[order], size[order]
+            block = _across(group, order)
+            bits, node, size, copies = bits[order], node[order], size[order], copies[order]
             _, flat = np.unique(np.frombuffer(b"".join(sets[k] for k in order.tolist()), np.uint64), return_inverse=True)
             del sets, group
             first = np.concatenate([[0], np.cumsum(size)])
             mark = np.zeros(int(flat.max()) + 1, np.uint8)
-            parent = list(range(m))
-            a_out, b_out, j_out = [], [], []
+            label, links = np.arange(m), np.zeros(m, np.int64)
+            a_out, b_out = [], []
             for a in range(m - 1):
                 # partners of at least this size, up to the largest that can be similar
                 end = int(np.searchsorted(size, size[a] / threshold + 1e-9, "right"))
                 if end <= a + 1:
                     continue
                 open_ = ~(bits[a + 1 : end] & bits[a]).any(axis=1)
-                if forest:
-                    mine = _root(parent, a)
-                    open_ &= np.array([_root(parent, k) != mine for k in range(a + 1, end)])
+                if block is not None:
+                    open_ &= block[a + 1 : end] != block[a]
+                if not counted:
+                    open_ &= label[a + 1 : end] != label[a]
                 if not open_.any():
                     continue
                 mark[flat[first[a] : first[a + 1]]] = 1
                 both = np.add.reduceat(mark[flat[first[a + 1] : first[end]]], first[a + 1 : end] - first[a + 1], dtype=np.int64)
                 mark[flat[first[a] : first[a + 1]]] = 0
                 total = size[a] + size[a + 1 : end] - both
-                ok = np.flatnonzero(open_ & (both >= threshold * total - 1e-9))
-                if forest:
-                    for k in (a + 1 + ok).tolist():
-                        parent[_root(parent, k)] = _root(parent, a)
-                a_out.append(np.full(len(ok), node[a]))
-                b_out.append(node[a + 1 + ok])
-                j_out.append(both[ok] / total[ok])
+                ok = a + 1 + np.flatnonzero(open_ & (both >= threshold * total - 1e-9))
+                if not len(ok):
+                    continue
+                links[a] += copies[ok].sum()
+                links[ok] += copies[a]
+                joined, where = np.unique(label[ok], return_index=True)
+                new = joined != label[a]
+                if new.any():
+                    a_out.append(np.full(int(new.sum()), node[a]))
+                    b_out.append(node[ok[where[new]]])
+                    label[np.isin(label, joined[new])] = label[a]
             if a_out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out)), pa.array(np.concatenate(j_out))], ["node_a", "node_b", "jaccard"]
-                )
+                a, b = np.concatenate(a_out), np.concatenate(b_out)
+                yield _edges(a, b, np.zeros(len(a), np.int64))
+            if counted and links.any():
+                yield _edges(node[links > 0], None, links[links > 0])
 
     return run
 
 
-def similar_nodes(
-    docs: DataFrame, threshold: float, n: int, id_col: str = "doc_id", text_col: str = "text", forest: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of all documents with words, and (node_a, node_b, jaccard) of the similar nodes.
+def _edges(a: np.ndarray, b: np.ndarray | None, links: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(links)], ["node_a", "node_b", "links"])
 
-    With ``forest``, only as many pairs as connect what is connected.
-    """
+
+def similar_nodes(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str, counted: bool, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node) of all rows, and the edges and link counts of :func:`_compare`."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     # as many ranges of signatures as partitions, several over; their number follows the setting that follows the data
-    ranges = min(16, max(8, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    schema = "bucket int, high binary, low binary, owners binary, doc_id long, node long, size int, parity binary"
-    signed, signed_at = stored_at(source.mapInArrow(_signer(n, threshold, ranges), schema), "ngram-signatures")
-    known = stored(signed.where("bucket IS NULL AND node <> 0").select("doc_id", "node", "size", "parity"), "ngram-members")
-    runs = signed.where("bucket IS NOT NULL").select("bucket", "high", "low", "owners").repartition("bucket")
-    stars = stored(runs.mapInArrow(_stars, "centre long, node long"), "ngram-stars")
-    del signed, runs
-    discard(spark, signed_at)
-    centres = stars.groupBy("node").agg(F.collect_set("centre").alias("centres"))
-    one = known.groupBy("node").agg(F.min_by(F.struct("doc_id", "size", "parity"), "doc_id").alias("m")).select("node", "m.*")
-    spread = centres.join(one, "node").select("doc_id", "node", "centres", "size", "parity", F.explode("centres").alias("centre"))
-    grouped = spread.repartition("centre").sortWithinPartitions("centre")
-    owned = stored(grouped.mapInArrow(_plausible(threshold), "doc_id long, node long, centres array<long>, centre long"), "ngram-groups")
-    wanted = stored(owned.groupBy("doc_id", "node").agg(F.first("centres").alias("centres"), F.collect_list("centre").alias("groups")), "ngram-wanted")
-    del centres, one, spread, grouped
-    release(spark)
-    held = wanted.agg(F.coalesce(F.sum(24 + 8 * (F.size("centres") + F.size("groups"))), F.lit(0))).first()[0]
-    texts = source.join(F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted, "doc_id")
-    pairs = (
-        texts.select(F.explode("groups").alias("centre"), "node", "centres", "text")
-        .repartition("centre")
-        .sortWithinPartitions("centre")
-        .mapInArrow(_compare(threshold, n, forest), "node_a long, node_b long, jaccard double")
-    )
-    return known.select("doc_id", "node"), stored(pairs, "ngram-pairs")
-
-
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of documents with n-gram Jaccard similarity of at least ``threshold``.
-
-    Returns (doc_a, doc_b, jaccard), doc_a < doc_b, each pair once; a pair at
-    the threshold is found with a probability of 0.999 or so, and a more
-    similar one almost surely.  The similarities are exact.
-
-    Words are runs of letters and digits, lower-cased.  A text of fewer than n
-    words, but one at least, has one n-gram.  Null, empty and wordless texts
-    have no n-gram and are in no pair; so are rows with a null id.  Rows of
-    one id are not paired with each other; where they have several texts, each
-    is compared, so that a pair of ids may have several rows.  Other columns
-    are ignored; an empty table gives an empty result.
-    """
-    members, similar = similar_nodes(docs, threshold, n, id_col, text_col)
-    members = members.distinct()
-    left = members.select(F.col("doc_id").alias("doc_x"), F.col("node").alias("node_a"))
-    right = members.select(F.col("doc_id").alias("doc_y"), F.col("node").alias("node_b"))
-    unlike = similar.join(left, "node_a").join(right, "node_b").where("doc_x <> doc_y").select("doc_x", "doc_y", "jaccard")
-    alike = left.join(right, F.col("node_a") == F.col("node_b")).where("doc_x < doc_y").select("doc_x", "doc_y", F.lit(1.0).alias("jaccard"))
-    return unlike.unionByName(alike).select(
-        F.least("doc_x", "doc_y").alias("doc_a"), F.greatest("doc_x", "doc_y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard")
+    ranges = min(20, max(8, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    known = stored(source.mapInArrow(_members(n), "doc_id long, text_hash long, node long, size int, parity binary"), "ngram-members")
+    runs = source.select("text").mapInArrow(_signer(n, threshold, ranges), "bucket int, high binary, low binary, owners binary").repartition("bucket")
+    stars = stored(runs.mapInArrow(_stars, "centre long, node long").distinct(), "ngram-stars")
+    large = stars.groupBy("centre").agg(F.count("*").alias("m")).where(F.col("m") > block).select("centre", F.expr(f"CAST((m + {block - 1}) DIV {block} AS INT)").alias("blocks"))
+    own = F.struct("centre", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    centres = stars.join(large, "centre", "left").groupBy("node").agg(F.collect_list(own).alias("own"))
+    # one row stands for all copies: the least, by id and text
+    least = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash", "size", "parity")
+    one = known.where("node <> 0").groupBy("node").agg(F.count("*").alias("copies"), F.min(least).alias("m")).select("node", "copies", "m.*")
+    spread = centres.join(one, "node").withColumn("centres", F.col("own.centre")).withColumn("o", F.explode("own"))
+    spread = spread.withColumn("block", F.expr("CAST(pmod(xxhash64(node), o.blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, o.blocks - 1)")))
+    spread = spread.select(
+        "doc_id", "text_hash", "node", "copies", "centres", "size", "parity", F.col("o.centre").alias("centre"),
+        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block",
+    )
+    kinds = "doc_id long, text_hash long, node long, copies long, centres array<long>, centre long, lo int, hi int, block int"
+    grouped = spread.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    owned = stored(grouped.mapInArrow(_plausible(threshold), kinds), "ngram-groups")
+    wanted = owned.groupBy("node").agg(
+        F.first("doc_id").alias("w_id"), F.first("text_hash").alias("w_hash"), F.first("copies").alias("copies"), F.first("centres").alias("centres"),
+        F.collect_list(F.struct(*_GROUP, "block")).alias("groups"),
+    )
+    wanted = stored(wanted, "ngram-wanted")
+    held = wanted.agg(F.coalesce(F.sum(40 + 8 * F.size("centres") + 24 * F.size("groups")), F.lit(0))).first()[0]
+    texts = source.join(F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    kinds = "node long, copies long, centres array<long>, groups array<struct<centre:long,lo:int,hi:int,block:int>>, text string"
+    texts = texts.select("node", "copies", "centres", "groups", "text").mapInArrow(_once, kinds)
+    compared = (
+        texts.select(F.explode("groups").alias("g"), "node", "copies", "centres", "text")
+        .select("g.*", "node", "copies", "centres", "text")
+        .repartition(*_GROUP)
+        .sortWithinPartitions(*_GROUP)
+        .mapInArrow(_compare(threshold, n, counted), "node_a long, node_b long, links long")
     )
+    return known.select("doc_id", "text_hash", "node"), stored(compared, "ngram-edges")
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, root): each node of undirected (a, b) edges with the least node that it is connected to.
 
     Alternates the two star operations on edges, each a group-by, until
     nothing changes; the rounds grow with the logarithm of the component.
+    ``RuntimeError`` if anything still changes after ``max_rounds``.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     before = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs")).withColumn("m", F.least("m", "u"))
-        large = near.select("u", "m", F.explode("vs").alias("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        small = down.select(F.explode(F.array_union(F.col("vs"), F.array("u"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # minima are joined back rather than kept with a node's list of neighbours, which has no bound
+        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = stored(small, "components")
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies: the row with the least id stays, all columns kept.
+def _classes(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, missing, first_id, first_hash, n_links) of nodes with copies or links: their class's least row, by id and text."""
+    least = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    nodes = members.where("node <> 0").groupBy("node").agg(F.count("*").alias("copies"), F.min(least).alias("least"))
+    roots = connected(found.where("node_b IS NOT NULL").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    links = found.where("node_b IS NULL").groupBy(F.col("node_a").alias("node")).agg(F.sum("links").alias("links"))
+    # a root is in its own class too, though no row of roots says so
+    roots = roots.union(roots.select("root", "root")).distinct()
+    alone = nodes.join(roots, "node", "left").join(links, "node", "left").where("copies > 1 OR root IS NOT NULL")
+    alone = stored(alone.select("node", "copies", "least", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "ngram-nodes")
+    first = alone.groupBy("root").agg(F.min("least").alias("first"))
+    return alone.join(first, "root").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
 
-    Groups are the connected components of :func:`jaccard_join`, taken on
-    distinct sets, so copies never multiply into pairs.  Rows without n-grams
-    or without an id stay.  Rows that repeat an id all stay or all go.
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = 3, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: its class of similar documents, and how many it is similar to.
+
+    Two rows are linked if the n-gram Jaccard similarity of their texts is at
+    least ``threshold``.  ``n_links`` counts the other rows that a row is
+    linked with, copies each; ``class_id`` is the least id of all that it is
+    connected to by links, its own if by none.  Comparison is exact; a link at
+    the threshold is lost with a probability of :data:`MISS`, and one of more
+    similar texts almost never.
+
+    Words are runs of letters and digits, lower-cased.  A text of fewer than n
+    words, but one at least, has one n-gram.  Null, empty and wordless texts
+    have no n-gram and no link.  Repeated rows and rows of one id with several
+    texts are rows like any other; a row with a null id too: it counts as a
+    link, and the class of null ids only has a null ``class_id``.  Very long
+    texts are sets like any other.  Other columns are ignored; an empty table
+    gives an empty result.
+    """
+    members, found = similar_nodes(docs, threshold, n, id_col, text_col, True, block)
+    classes = _classes(members, found)
+    # rows without words are many and have no partner: they take no part in the join
+    linked = members.where("node <> 0").join(classes, "node", "left")
+    linked = linked.select("doc_id", F.expr("CASE WHEN n_links IS NULL THEN doc_id ELSE first_id END").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return linked.unionByName(members.where("node = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = 3, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row of each class of :func:`jaccard_join`, all columns kept: that of the least id.
+
+    Rows are judged, not ids: of rows that repeat an id with the same text one
+    stays; of one id's several texts each is judged by itself; rows with a null
+    id come last in a class.  Among rows of one id the least hash of the text
+    stays, among repeated rows any.  Rows without n-grams (null, empty and
+    wordless texts) all stay.  An empty table gives an empty result.
     """
-    members, similar = similar_nodes(docs, threshold, n, id_col, text_col, forest=True)
-    roots = connected(similar.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    grouped = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    lowest = grouped.groupBy("root").agg(F.min("doc_id").alias("first"))
-    gone = grouped.join(lowest, "root").where("doc_id > first").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone_id"), "left_anti")
+    members, found = similar_nodes(docs, threshold, n, id_col, text_col, False, block)
+    own = stored(members.where("node <> 0").join(_classes(members, found), "node"), "ngram-classes")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    names = [F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")]
+    gone = own.where(~first).select(*names).distinct()
+    keyed = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_hash": F.xxhash64(F.col(text_col))})
+    same = F.col("__row_id").eqNullSafe(F.col("__gone_id")) & (F.col("__row_hash") == F.col("__gone_hash"))
+    kept = keyed.join(gone, same, "left_anti")
+    repeated = stored(own.where(first).select(*names).groupBy("__gone_id", "__gone_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "ngram-repeated")
+    if not repeated.isEmpty():
+        single = kept.join(repeated, same, "left_anti")
+        kept = single.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["__row_id", "__row_hash"]))
+    return kept.drop("__row_id", "__row_hash")

@@ -69,10 +69,16 @@ def _windows(table: str, key: str, n: int) -> str:
 
 
 JACCARD_SQL = f"""
-WITH s AS ({_windows("documents", "doc_id", 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE shared >= 0.55 * (x.n + y.n - shared)
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+s AS ({_windows("d", "r", 3)}), n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+p AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY ALL) JOIN n x ON x.r = a JOIN n y ON y.r = b
+  WHERE shared >= 0.55 * (x.n + y.n - shared)
+),
+c AS (SELECT a AS r, a AS other FROM p UNION SELECT p.b, c.other FROM c JOIN p ON p.a = c.r),
+k AS (SELECT c.r, min(d.doc_id) AS class_id FROM c JOIN d ON d.r = c.other GROUP BY 1),
+l AS (SELECT a AS r, count(*) AS n_links FROM p GROUP BY 1)
+SELECT doc_id, CASE WHEN k.r IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN k USING (r) LEFT JOIN l USING (r)
 """
 
 HITS_SQL = f"""
