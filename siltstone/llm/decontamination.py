@@ -15,7 +15,6 @@ test strings in question, and bytes are compared directly.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +122,56 @@ def _grouped(strings: dict[bytes, list[int]], most: int) -> Iterator[dict[bytes,
         yield group
 
 
+def _strings(benchmark: DataFrame, window: int, least_words: int, item_col: str, item_text_col: str, benchmark_bytes: int) -> dict[bytes, list[int]]:
+    """The test strings of a benchmark, whose size is checked before it comes to the driver."""
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(
+        F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")
+    )
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > benchmark_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text; at most {benchmark_bytes} can be searched for")
+    strings = test_strings([(r.item_id, r.text) for r in items.collect()], window)
+    return {s: owners for s, owners in strings.items() if len(s.split()) >= min(least_words, window)}
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], text: str, groups: list[dict[bytes, list[int]]], held_bytes: int = 32 << 20) -> Iterator[tuple[pa.RecordBatch, dict[tuple[int, int], int]]]:
+    """Parts of the batches, each with the number of distinct test strings by (row, item).
+
+    With several groups of test strings, parts of ``held_bytes`` are held and
+    the groups' tables are made one after the other, so that a row's counts are
+    complete here however many groups there are.
+    """
+    machine = WuManber(list(groups[0])) if len(groups) == 1 else None
+    held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, dict[tuple[int, int], int]]] = []
+
+    def search() -> Iterator[tuple[pa.RecordBatch, dict[tuple[int, int], int]]]:
+        for group in groups:
+            own, patterns, owner_lists = machine or WuManber(list(group)), list(group), list(group.values())
+            for _, data, offsets, counts in held:
+                begin, which = own.search(data)
+                if not len(begin):
+                    continue
+                row = np.searchsorted(offsets, begin, "right") - 1
+                inside = begin + np.array([len(patterns[k]) for k in which.tolist()]) <= offsets[row + 1]
+                seen = np.unique(np.stack([row[inside], which[inside]]), axis=1)
+                for r, k in zip(seen[0].tolist(), seen[1].tolist()):
+                    for item in owner_lists[k]:
+                        counts[r, item] = counts.get((r, item), 0) + 1
+        for part, _, _, counts in held:
+            yield part, counts
+        held.clear()
+
+    space = pa.scalar(" ", pa.large_string())
+    for batch in batches:
+        for part in slices(batch, text):
+            wrapped = pc.binary_join_element_wise(space, normalised(part.column(text)), space, pa.scalar("", pa.large_string()))
+            held.append((part, *raw(pc.replace_substring(wrapped, "  ", " ")), {}))
+            if machine is not None or sum(len(x[1]) for x in held) >= held_bytes:
+                yield from search()
+    if held:
+        yield from search()
+
+
 def benchmark_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -133,6 +182,7 @@ def benchmark_hits(
     item_text_col: str = "text",
     table_bytes: int = 64 << 20,
     benchmark_bytes: int = 512 << 20,
+    least_words: int = 1,
 ) -> DataFrame:
     """Which documents have which benchmark items: (doc_id, item_id, n_windows).
 
@@ -140,69 +190,54 @@ def benchmark_hits(
     the document.  One row for each document row and item with at least one.
 
     The benchmark is bounded and comes to the driver; its size is checked
-    first and ``ValueError`` raised beyond ``benchmark_bytes``.  Test strings
-    of more than ``table_bytes`` are searched in several passes, so what each
-    task holds stays bounded.  The documents are scanned in place: no shuffle.
+    first and ``ValueError`` raised beyond ``benchmark_bytes``.  A task searches
+    for test strings of ``table_bytes`` at a time; the result is the same for
+    any.  The documents are scanned in place, whole: no shuffle.
 
     Null, empty and wordless texts and items match nothing; a repeated document
-    row gives its rows again (with several passes, rows of one id are added up); a repeated item id with several texts owns the
-    test strings of all of them; an item with a null id is left out; other
-    columns of either table are ignored; empty tables give an empty result.
+    row, and a row with a null id, gives rows of its own; a repeated item id
+    with several texts owns the test strings of all of them; an item with a
+    null id is left out.  An item of fewer words than ``window`` is one test
+    string: one of a single common word is found in very many documents, and
+    makes the search slow; items of fewer than ``least_words`` are left out.
+    Other columns of either table are ignored; empty tables give an empty
+    result.
     """
-    spark = docs.sparkSession
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(
-        F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")
-    )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > benchmark_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; at most {benchmark_bytes} can be searched for")
-    strings = test_strings([(r.item_id, r.text) for r in items.collect()], window)
+    groups = list(_grouped(_strings(benchmark, window, least_words, item_col, item_text_col, benchmark_bytes), table_bytes))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, n_windows long"
-    passes = [source.mapInArrow(_searcher(group), schema) for group in _grouped(strings, table_bytes)]
-    if not passes:
-        return spark.createDataFrame([], schema)
-    if len(passes) == 1:
-        return passes[0]
-    return reduce(DataFrame.unionByName, passes).groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"))
-
-
-def _searcher(strings: dict[bytes, list[int]]):
-    patterns = list(strings)
-    owner_lists = list(strings.values())
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = WuManber(patterns)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                wrapped = pc.binary_join_element_wise(
-                    pa.scalar(" ", pa.large_string()), normalised(part.column("text")), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
-                )
-                data, offsets = raw(pc.replace_substring(wrapped, "  ", " "))
-                begin, which = machine.search(data)
-                if not len(begin):
-                    continue
-                row = np.searchsorted(offsets, begin, "right") - 1
-                inside = begin + np.array([len(patterns[k]) for k in which.tolist()]) <= offsets[row + 1]
-                seen = np.unique(np.stack([row[inside], which[inside]]), axis=1)
-                counts: dict[tuple[int, int], int] = {}
-                for r, k in zip(seen[0].tolist(), seen[1].tolist()):
-                    for item in owner_lists[k]:
-                        counts[r, item] = counts.get((r, item), 0) + 1
-                rows = np.array([r for r, _ in counts], np.int64)
+    if not groups:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, counts in _scanned(batches, "text", groups):
+            if counts:
+                rows = pa.array([r for r, _ in counts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(rows)), pa.array([i for _, i in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
+                    [part.column("doc_id").take(rows), pa.array([i for _, i in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
                     ["doc_id", "item_id", "n_windows"],
                 )
 
-    return search
+    return source.mapInArrow(run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose id has no benchmark hit.
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    table_bytes: int = 64 << 20, benchmark_bytes: int = 512 << 20, least_words: int = 1,
+) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text has no benchmark hit.
 
-    A row with a null id is kept, as no hit can be told to be its own.
-    Otherwise as :func:`benchmark_hits`.
+    Every row is judged by its own text where it is, so ids do not matter and
+    nothing is shuffled.  Otherwise as :func:`benchmark_hits`.
     """
-    hit = benchmark_hits(docs, benchmark, window, id_col, text_col).select(F.col("doc_id").alias("__hit_id")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long") == F.col("__hit_id"), "left_anti")
+    groups = list(_grouped(_strings(benchmark, window, least_words, item_col, item_text_col, benchmark_bytes), table_bytes))
+    if not groups:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, counts in _scanned(batches, text_col, groups):
+            clean = np.ones(part.num_rows, bool)
+            clean[[r for r, _ in counts]] = False
+            yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)

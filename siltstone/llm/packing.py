@@ -70,7 +70,8 @@ def inverted(a: np.ndarray) -> np.ndarray:
 def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20_000, slack: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one in each row) and how often each is used, in the linear program's optimum.
 
-    The optimum is within a share ``slack``, by the bound that prices give.
+    The optimum is within a share ``slack``, by the bound that prices give;
+    ``RuntimeError`` if it is not after ``rounds`` columns.
     Demands are scaled, and changed by less than a millionth, each by another
     share, so that no two ratios are equal and the simplex method cannot turn
     in circles; the returned solution is that of the given demands.  The
@@ -99,6 +100,8 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, round
             row = inverse[out] / direction[out]
             inverse = inverse - direction[:, None] * row
             inverse[out] = row
+    else:
+        raise RuntimeError(f"the linear program has no optimum after {rounds} columns")
     return basis.T.round().astype(np.int64), np.maximum((inverted(basis) * demand).sum(axis=1), 0.0)
 
 
@@ -132,7 +135,7 @@ def plan(classes: dict[int, int], capacity: int) -> list[tuple[dict[int, int], i
 
 
 def word_count(text: Column) -> Column:
-    """The default length of a text: its words, divided by white space."""
+    """The length of a text in words, divided by white space, for those who pack words."""
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
@@ -153,21 +156,27 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "
 
 
 def pack(
-    docs: DataFrame, capacity: int = 2048, step: int = 16, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 200_000
-) -> DataFrame:
+    docs: DataFrame, capacity: int = 2048, step: int = 16, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 200_000,
+    vocabulary: str = VOCABULARY,
+) -> DataFrame:
     """(doc_id, piece, start, length, sequence, slot): where each piece of each document goes.
 
     A piece is ``length`` tokens from ``start``; ``slot`` is its place in the
     sequence.  The lengths in a sequence, each rounded up to ``step``, are at
-    most ``capacity``.  ``length`` is the column of a row's length in tokens;
-    the words of the text if none is given.  Documents of no length (null and
-    empty texts) have no piece.  Repeated rows are packed each; null ids too;
-    other columns are ignored; an empty table gives an empty result.
+    most ``capacity``.  ``length`` is the column of a row's length, where it is
+    known; the tokens of the whole text under ``vocabulary`` if none is given.
+    Texts longer than a sequence, however long, are cut into full pieces and a
+    rest.  Documents of no length (null and empty texts) have no piece.
+    Repeated rows are packed each; null ids too.  Pieces of equal class are
+    ranked by hash, id and place, those that are equal in all in any order.
+    Other columns are ignored; an empty table gives an empty result.
     """
     if capacity % step:
         raise ValueError("capacity must be a multiple of step")
     spark = docs.sparkSession
-    size = F.coalesce(word_count(F.col(text_col)) if length is None else length, F.lit(0)).cast("long")
+    if length is None:
+        docs, id_col, length = token_lengths(docs, vocabulary, id_col, text_col), "doc_id", F.col("n_tokens")
+    size = F.coalesce(length, F.lit(0)).cast("long")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size")).where("size > 0")
     pieces = own.select("doc_id", "size", F.explode(F.expr(f"sequence(0L, (size - 1) DIV {capacity})")).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).alias("length"))

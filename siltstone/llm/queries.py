@@ -5,50 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, kneser_ney, ngram_join, packing, quality, sharding, token_counts, token_store, toxicity, warc
 from siltstone.llm.common import read_table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document, boundary tokens to the line with most of their bytes."""
     return token_counts.section_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of each document, after growing from 64 to 80 shards."""
     return sharding.shard(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of each document under a model of all documents."""
     return kneser_ney.perplexity(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of each page."""
     return warc.derivatives(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of each document among near copies."""
     return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, restored from disguises."""
     return toxicity.toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document, written and read again."""
     return token_store.tokenized(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = packing.token_lengths(read_table(spark, sf_dir, "documents", "doc_id", "text"))
-    return packing.pack(lengths, length=F.col("n_tokens"))
+    """Where each piece of each document goes in sequences of 2,048 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates, fences and the decision for each document."""
     return quality.quality(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in each document."""
     return decontamination.benchmark_hits(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
@@ -83,10 +91,10 @@ SELECT doc_id, CASE WHEN k.r IS NULL THEN doc_id ELSE class_id END AS class_id,
 
 HITS_SQL = f"""
 WITH i AS (SELECT DISTINCT item_id, g, len(string_split(g, ' ')) AS n FROM ({_windows("benchmark", "item_id", 8)})),
-w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 k AS (SELECT DISTINCT n FROM i),
-d AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, k WHERE len(w) >= n))
-SELECT doc_id, item_id, count(*) AS n_windows FROM d JOIN i USING (g) GROUP BY ALL
+d AS (SELECT DISTINCT r, doc_id, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT r, doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, k WHERE len(w) >= n))
+SELECT doc_id, item_id, count(*) AS n_windows FROM d JOIN i USING (g) GROUP BY r, doc_id, item_id
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -495,16 +495,26 @@ def check_packing(rows, got, capacity, step):
 def test_packing_is_near_the_bound(spark):
     rng = random.Random(8)
     rows = [(k, "w " * rng.choice([3, 10, 40, 55, 70, 90, 130, rng.randrange(1, 300)])) for k in range(600)]
-    got = packing.pack(docs_of(spark, rows), 128, 4).collect()
+    got = packing.pack(docs_of(spark, rows), 128, 4, packing.word_count(F.col("text"))).collect()
     n = check_packing(rows, got, 128, 4)
-    whole = sum(math.ceil(r.length / 4) * 4 for r in got)
     # no packing needs fewer sequences than the linear program; rounding adds at most one for each class
-    assert n <= whole / 128 * 1.05 + 2
+    demand = Counter(math.ceil(r.length / 4) for r in got)
+    size = np.array(sorted(demand))
+    _, x = packing.column_generation(size, np.array([float(demand[s]) for s in size.tolist()]), 32)
+    assert x.sum() - 1e-6 <= n <= x.sum() + len(size)
 
 
 def test_packing_odd(spark, odd, none):
-    got = packing.pack(odd, 256, 16).collect()
+    got = packing.pack(odd, 256, 16, packing.word_count(F.col("text"))).collect()
     check_packing(ODD, got, 256, 16)
+    own, _ = encoder(VOCABULARY)
+    tokens = Counter()
+    for i, t in ODD:
+        tokens[i] += len(own.encode_ordinary(t or ""))
+    packed = Counter()
+    for r in packing.pack(odd, 256, 16).collect():
+        packed[r.doc_id] += r.length
+    assert packed == +tokens
     assert packing.pack(none).count() == 0
     with pytest.raises(ValueError):
         packing.pack(odd, 100, 16)
@@ -536,6 +546,8 @@ def test_column_generation_against_the_linear_program():
     prices = np.linalg.inv(basis).sum(axis=0)
     assert max(np.dot(p, prices) for p in every) <= 1 + 1e-6
     assert best == pytest.approx(float(prices @ demand))
+    with pytest.raises(RuntimeError):
+        packing.column_generation(size, demand, 16, rounds=1)
 
 
 # --- 9: quality rules
@@ -598,14 +610,17 @@ def test_decontamination(spark, table_bytes):
             passage = (items[rng.randrange(7)][1]).split()
             ws[5:5] = [w.upper() + "," for w in passage]
         rows.append((k, " ".join(ws)))
-    rows += [(100, None), (101, ""), (None, items[5][1])]
+    rows += [(100, None), (101, ""), (None, items[5][1]), (None, items[5][1]), (0, "w1 w2"), rows[0], rows[0], (102, "x " * 200_000 + items[5][1])]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     got = Counter((r.doc_id, r.item_id, r.n_windows) for r in decontamination.benchmark_hits(docs_of(spark, rows), bench, 5, table_bytes=table_bytes).collect())
     assert got == brute_hits(rows, items, 5)
     df = docs_of(spark, rows)
-    kept = decontamination.decontaminate(df, bench, 5)
+    kept = decontamination.decontaminate(df, bench, 5, table_bytes=table_bytes)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _, _ in got if d is not None}
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((d, t) for d, t in rows if not brute_hits([(d, t)], items, 5))
+    long = [i for i in items if len((i[1] or "").split()) > 1]
+    longer = decontamination.benchmark_hits(df, bench, 5, table_bytes=table_bytes, least_words=2).collect()
+    assert Counter((r.doc_id, r.item_id, r.n_windows) for r in longer) == brute_hits(rows, long, 5)
 
 
 def test_decontamination_odd(spark, odd, none):

@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from siltstone.llm import ngram_join, quality, toxicity
 from siltstone.llm.common import normalised, read_table
+from siltstone.llm.tokens import VOCABULARY, encoder
 
 
 @pytest.fixture(scope="module")
@@ -91,7 +92,8 @@ def test_decontamination_stage(spark, small, stages):
 
 def test_packing_stage(stages):
     before, after = stages["packing"]
-    length = {i: len((t or "").split()) for i, t in texts(before).items()}
+    own, _ = encoder(VOCABULARY)
+    length = {i: len(own.encode_ordinary(t or "")) for i, t in texts(before).items()}
     fill, got = defaultdict(int), defaultdict(int)
     for r in after.collect():
         fill[r.sequence] += -(-r.length // 16) * 16
