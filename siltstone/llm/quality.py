@@ -8,8 +8,14 @@ an upper fence over its quartiles.
 The sketch is a histogram whose cells keep the leading bits of the rate, so
 that a quantile is off by one part in 32 at most.  Sketches merge by adding
 counts: those of a language's sources to the language's, and those to one of
-all, which stand in where a source or language has few documents.  It needs
-no random choice, so results never change when a task is run again.
+all.  Every group also borrows the weight of a few documents from either, so
+that the fence of a source with few documents leans on its language and on
+the whole, and ever less so the more it has: there is no size at which the
+rule changes.  It needs no random choice, so results never change when a task
+is run again.
+
+A text's count is held against what a text at the fence's rate may have by
+chance (Bernstein's bound), so that short texts are not judged by one symbol.
 """
 
 from __future__ import annotations
@@ -62,66 +68,92 @@ def sketches(rates: DataFrame, keys: list[str]) -> DataFrame:
     return long.select(*keys, "e.rule", cell("e.x").alias("cell")).groupBy(*keys, "rule", "cell").agg(F.count("*").alias("n"))
 
 
+#: Weight of one document in a merged sketch; borrowed ones are parts of it.
+UNIT = 1024
+
+
+def borrowed(own: DataFrame, prior: int) -> DataFrame:
+    """(q_lang, q_source, rule, cell, n): the sketches of languages and sources, each with ``prior`` documents' weight of its language's and of all.
+
+    Sums are over tables of cells, whose number does not grow with the documents of a group.
+    """
+    lang = own.groupBy("q_lang", "rule", "cell").agg(F.sum("n").alias("n"))
+    every = lang.groupBy("rule", "cell").agg(F.sum("n").alias("n"))
+    groups = own.select("q_lang", "q_source", "rule").distinct()
+
+    def share(sketch: DataFrame, keys: list[str]) -> DataFrame:
+        total = sketch.groupBy(*keys).agg(F.sum("n").alias("total")).select(*(F.col(k).alias(f"t_{k}") for k in keys), "total")
+        return sketch.join(total, _same(keys, "t_")).withColumn("n", F.expr(f"(n * {UNIT * prior}L) DIV total"))
+
+    of_lang = share(lang, ["q_lang", "rule"]).select(F.col("q_lang").alias("s_q_lang"), F.col("rule").alias("s_rule"), "cell", "n")
+    of_all = share(every, ["rule"]).select(F.col("rule").alias("s_rule"), "cell", "n")
+    parts = own.select("q_lang", "q_source", "rule", "cell", (F.col("n") * UNIT).alias("n"))
+    for part, keys in ((of_lang, ["q_lang", "rule"]), (of_all, ["rule"])):
+        parts = parts.unionByName(groups.join(part, _same(keys, "s_")).select("q_lang", "q_source", "rule", "cell", "n"))
+    return parts.groupBy("q_lang", "q_source", "rule", "cell").agg(F.sum("n").alias("n"))
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    found = F.lit(True)
+    for k in keys:
+        found = found & F.col(k).eqNullSafe(F.col(prefix + k))
+    return found
+
+
 def fences(sketch: DataFrame, keys: list[str], reach: float, spread: int) -> DataFrame:
-    """(keys, rule, docs, fence) of a sketch: upper quartile + reach * max(quartile distance, spread)."""
+    """(keys, rule, fence) of a sketch: upper quartile + reach * max(quartile distance, spread)."""
     group = W.partitionBy(*keys, "rule")
-    ranked = sketch.select(*keys, "rule", "cell", F.sum("n").over(group).alias("docs"), F.sum("n").over(group.orderBy("cell")).alias("upto"))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * q, F.col("cell")))
-    found = ranked.groupBy(*keys, "rule").agg(F.max("docs").alias("docs"), quartile(1).alias("low"), quartile(3).alias("high"))
-    return found.select(*keys, "rule", "docs", (F.col("high") + F.lit(reach) * F.greatest(F.col("high") - F.col("low"), F.lit(spread))).cast("long").alias("fence"))
+    ranked = sketch.select(*keys, "rule", "cell", F.sum("n").over(group).alias("total"), F.sum("n").over(group.orderBy("cell")).alias("upto"))
+    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("cell")))
+    found = ranked.groupBy(*keys, "rule").agg(quartile(1).alias("low"), quartile(3).alias("high"))
+    return found.select(*keys, "rule", (F.col("high") + F.lit(reach) * F.greatest(F.col("high") - F.col("low"), F.lit(spread))).cast("long").alias("fence"))
 
 
-def thresholds(docs: DataFrame, reach: float = 3.0, spread: int = 100, min_docs: int = 200, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(q_lang, q_source, symbol_fence, upper_fence, repeat_fence), one row per language and source.
+def thresholds(counted: DataFrame, reach: float = 3.0, spread: int = 100, prior: int = 100) -> DataFrame:
+    """(q_lang, q_source, symbol_fence, upper_fence, repeat_fence), one row per language and source of (q_lang, q_source, counts).
 
-    Where a language and source have fewer than ``min_docs`` documents the
-    language's fence is used, and where that has as few, the one of all.
     Null languages and sources are groups of their own.
     """
-    m = measures(F.col(text_col))
-    counted = docs.select(F.col(lang_col).alias("q_lang"), F.col(source_col).alias("q_source"), *(c.alias(k) for k, c in m.items()))
-    rates = counted.select("q_lang", "q_source", *(rate(F.col(r), F.col(of)).alias(f"{r}_rate") for r, of in RATES.items()))
+    rates = counted.select("q_lang", "q_source", *(rate(F.col(f"q_{r}"), F.col(f"q_{of}")).alias(f"{r}_rate") for r, of in RATES.items()))
     own = stored(sketches(rates, ["q_lang", "q_source"]), "quality-sketches")
-    lang = own.groupBy("q_lang", "rule", "cell").agg(F.sum("n").alias("n"))
-    every = lang.groupBy("rule", "cell").agg(F.sum("n").alias("n"))
-    f_own = fences(own, ["q_lang", "q_source"], reach, spread)
-    f_lang = fences(lang, ["q_lang"], reach, spread).select(F.col("q_lang").alias("l"), F.col("rule").alias("lr"), F.col("docs").alias("ld"), F.col("fence").alias("lf"))
-    f_all = fences(every, [], reach, spread).select(F.col("rule").alias("ar"), F.col("fence").alias("af"))
-    joined = f_own.join(f_lang, F.col("q_lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("lr"))).join(f_all, F.col("rule") == F.col("ar"))
-    fence = F.when(F.col("docs") >= min_docs, F.col("fence")).when(F.col("ld") >= min_docs, F.col("lf")).otherwise(F.col("af"))
-    chosen = joined.select("q_lang", "q_source", "rule", fence.alias("fence"))
+    chosen = fences(borrowed(own, prior), ["q_lang", "q_source"], reach, spread)
     return chosen.groupBy("q_lang", "q_source").agg(*(F.max(F.when(F.col("rule") == r, F.col("fence"))).alias(f"{r}_fence") for r in RATES))
 
 
-def _judged(docs: DataFrame, slack: int, keep_cols: list[str], text_col: str, lang_col: str, source_col: str, **adaptive) -> DataFrame:
-    limits = stored(thresholds(docs, text_col=text_col, lang_col=lang_col, source_col=source_col, **adaptive), "quality-thresholds")
+def within(count: Column, of: Column, fence: Column, surprise: float) -> Column:
+    """Whether a text at the fence's rate has so many by chance: more would have a probability of exp(-surprise) at most."""
+    expected = fence * of / F.lit(10000.0)
+    return count - expected <= F.lit(surprise / 3) + F.sqrt(F.lit(surprise * surprise / 9) + F.lit(2 * surprise) * expected)
+
+
+def _judged(docs: DataFrame, keep_cols: list[str], text_col: str, lang_col: str, source_col: str, surprise: float, **adaptive) -> DataFrame:
     m = measures(F.col(text_col))
+    own = docs.select(*(F.col(c).alias(f"__d_{c}") for c in keep_cols), F.col(lang_col).alias("q_lang"), F.col(source_col).alias("q_source"), *(c.alias(f"q_{k}") for k, c in m.items()))
+    limits = stored(thresholds(own, **adaptive), "quality-thresholds")
     # limits is read from files, so its size is known when the join is planned
-    own = docs.select(
-        *(F.col(c).alias(f"__d_{c}") for c in keep_cols), F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), *(c.alias(f"__{k}") for k, c in m.items())
-    )
-    joined = own.join(limits, F.col("__lang").eqNullSafe(F.col("q_lang")) & F.col("__source").eqNullSafe(F.col("q_source")), "left")
-    # a rate may pass the fence by `slack` occurrences, which lets short texts be
-    ok = [(F.col(f"__{r}") - slack) * 10000 <= F.col(f"{r}_fence") * F.col(f"__{of}") for r, of in RATES.items()]
+    limits = limits.withColumnsRenamed({"q_lang": "l_q_lang", "q_source": "l_q_source"})
+    joined = own.join(limits, _same(["q_lang", "q_source"], "l_"), "left")
+    ok = [within(F.col(f"q_{r}"), F.col(f"q_{of}"), F.col(f"{r}_fence"), surprise) for r, of in RATES.items()]
     return joined.withColumn("__keep", ok[0] & ok[1] & ok[2])
 
 
-def quality(docs: DataFrame, slack: int = 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **adaptive) -> DataFrame:
+def quality(docs: DataFrame, surprise: float = 7.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **adaptive) -> DataFrame:
     """(doc_id, symbol_rate, upper_rate, repeat_rate, their fences, keep) of every row.
 
     Rates are per ten thousand characters (words for ``repeat``).  Null and
-    empty texts have rates of 0 and are kept.  Repeated rows count, and are
-    judged, each; other columns are ignored; an empty table gives an empty
-    result.  Options as in :func:`thresholds`.
+    empty texts have rates of 0 and are kept; very long texts are counted
+    whole; a text that just reaches its bound is kept.  Repeated rows count,
+    and are judged, each; null ids too; other columns are ignored; an empty
+    table gives an empty result.  Options as in :func:`thresholds`.
     """
-    judged = _judged(docs, slack, [id_col], text_col, lang_col, source_col, **adaptive)
-    rates = [rate(F.col(f"__{r}"), F.col(f"__{of}")).alias(f"{r}_rate") for r, of in RATES.items()]
+    judged = _judged(docs, [id_col], text_col, lang_col, source_col, surprise, **adaptive)
+    rates = [rate(F.col(f"q_{r}"), F.col(f"q_{of}")).alias(f"{r}_rate") for r, of in RATES.items()]
     return judged.select(F.col(f"__d_{id_col}").cast("long").alias("doc_id"), *rates, *(f"{r}_fence" for r in RATES), F.col("__keep").alias("keep"))
 
 
-def keep_good(docs: DataFrame, slack: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **adaptive) -> DataFrame:
+def keep_good(docs: DataFrame, surprise: float = 7.0, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **adaptive) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, all columns kept."""
-    judged = _judged(docs, slack, docs.columns, text_col, lang_col, source_col, **adaptive)
+    judged = _judged(docs, docs.columns, text_col, lang_col, source_col, surprise, **adaptive)
     return judged.where("__keep").select(*(F.col(f"__d_{c}").alias(c) for c in docs.columns))
 
 
@@ -141,27 +173,31 @@ WITH m AS (
   UNION ALL SELECT lang, source, 'repeat', repeat_rate FROM r
 ), s AS (
   SELECT lang, source, rule, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS cell, count(*) AS n FROM x GROUP BY ALL
+), tl AS (SELECT lang, rule, sum(n) AS total FROM s GROUP BY ALL
+), ta AS (SELECT rule, sum(n) AS total FROM s GROUP BY ALL
+), pl AS (SELECT s.lang, rule, cell, sum(n) * 102400 // any_value(total) AS n FROM s JOIN tl USING (rule) WHERE s.lang IS NOT DISTINCT FROM tl.lang GROUP BY s.lang, rule, cell
+), pa AS (SELECT rule, cell, sum(n) * 102400 // any_value(total) AS n FROM s JOIN ta USING (rule) GROUP BY rule, cell
+), groups AS (SELECT DISTINCT lang, source, rule FROM s
 ), g AS (
-  SELECT 0 AS level, lang, source, rule, cell, n FROM s
-  UNION ALL SELECT 1, lang, NULL, rule, cell, sum(n) FROM s GROUP BY lang, rule, cell
-  UNION ALL SELECT 2, NULL, NULL, rule, cell, sum(n) FROM s GROUP BY rule, cell
+  SELECT lang, source, rule, cell, n * 1024 AS n FROM s
+  UNION ALL SELECT groups.lang, source, groups.rule, cell, n FROM groups JOIN pl ON groups.rule = pl.rule AND groups.lang IS NOT DISTINCT FROM pl.lang
+  UNION ALL SELECT lang, source, groups.rule, cell, n FROM groups JOIN pa ON groups.rule = pa.rule
+), h AS (SELECT lang, source, rule, cell, sum(n) AS n FROM g GROUP BY ALL
 ), k AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule) AS docs,
-         sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY cell) AS upto FROM g
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, rule) AS total, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY cell) AS upto FROM h
 ), q AS (
-  SELECT level, lang, source, rule, max(docs) AS docs, min(CASE WHEN upto * 4 >= docs THEN cell END) AS low,
-         min(CASE WHEN upto * 4 >= docs * 3 THEN cell END) AS high FROM k GROUP BY ALL
-), f AS (SELECT *, CAST(high + 3 * greatest(high - low, 100) AS BIGINT) AS fence FROM q
-), t AS (
-  SELECT a.lang, a.source, a.rule, CASE WHEN a.docs >= 200 THEN a.fence WHEN b.docs >= 200 THEN b.fence ELSE c.fence END AS fence
-  FROM f a JOIN f b ON a.level = 0 AND b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.rule = b.rule
-  JOIN f c ON c.level = 2 AND a.rule = c.rule
+  SELECT lang, source, rule, min(CASE WHEN upto * 4 >= total THEN cell END) AS low, min(CASE WHEN upto * 4 >= total * 3 THEN cell END) AS high FROM k GROUP BY ALL
+), t AS (SELECT lang, source, rule, CAST(high + 3 * greatest(high - low, 100) AS BIGINT) AS fence FROM q
 ), l AS (
   SELECT lang, source, max(fence) FILTER (rule = 'symbol') AS symbol_fence, max(fence) FILTER (rule = 'upper') AS upper_fence,
          max(fence) FILTER (rule = 'repeat') AS repeat_fence FROM t GROUP BY ALL
+), e AS (
+  SELECT r.*, symbol_fence, upper_fence, repeat_fence, symbol_fence * chars / 10000.0::DOUBLE AS symbol_e, upper_fence * chars / 10000.0::DOUBLE AS upper_e,
+         repeat_fence * words / 10000.0::DOUBLE AS repeat_e
+  FROM r LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source
 )
-SELECT r.doc_id, symbol_rate, upper_rate, repeat_rate, symbol_fence, upper_fence, repeat_fence,
-       (symbol - 10) * 10000 <= symbol_fence * chars AND (upper - 10) * 10000 <= upper_fence * chars
-       AND (repeat - 10) * 10000 <= repeat_fence * words AS keep
-FROM r LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source
+SELECT doc_id, symbol_rate, upper_rate, repeat_rate, symbol_fence, upper_fence, repeat_fence,
+       symbol - symbol_e <= 7.0::DOUBLE / 3 + sqrt(49.0::DOUBLE / 9 + 14 * symbol_e) AND upper - upper_e <= 7.0::DOUBLE / 3 + sqrt(49.0::DOUBLE / 9 + 14 * upper_e)
+       AND repeat - repeat_e <= 7.0::DOUBLE / 3 + sqrt(49.0::DOUBLE / 9 + 14 * repeat_e) AS keep
+FROM e
 """

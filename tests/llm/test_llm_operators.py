@@ -557,15 +557,34 @@ def test_quality_drops_junk_and_keeps_clean(spark):
     rng = random.Random(9)
     rows = [(k, " ".join(words(rng, 80)), ("en", None)[k % 2], "s" if k % 3 else None, 0) for k in range(300)]
     rows += [(1000, "$# " * 200, "en", "s", 0), (1001, "same " * 300, "en", "s", 0), (1002, None, "en", "s", 0), (1003, "", None, None, 0)]
+    # a short text may have a few, not as many as its words; a very long one is judged whole
+    rows += [(1004, "Yes! Yes! Go", "en", "new source", 0), (1005, "no " * 12, "en", "s", 0), (1006, " ".join(words(rng, 100_000)), "en", "s", 0), (1007, " ".join(words(rng, 50_000)) + " x" * 100_000, "en", "s", 0)]
+    rows += [(None, "# " * 100, "en", "s", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, chars int")
     got = {r.doc_id: r for r in quality.quality(df).collect()}
     assert len(got) == len(rows)
-    assert {i for i, r in got.items() if not r.keep} == {1000, 1001}
+    assert {i for i, r in got.items() if not r.keep} == {1000, 1001, 1005, 1007, None}
     kept = quality.keep_good(df)
-    assert kept.columns == df.columns and kept.count() == len(rows) - 2
+    assert kept.columns == df.columns and kept.count() == len(rows) - 5
     assert quality.quality(df.limit(0)).count() == 0
 
 
+def test_counts_at_the_bound(spark):
+    bound = 7 / 3 + math.sqrt(49 / 9)
+    df = spark.range(12).select(quality.within(F.col("id"), F.lit(0), F.lit(500), 7.0).alias("ok"), "id")
+    assert all(r.ok == (r.id <= bound) for r in df.collect())
+
+
+def test_few_documents_lean_on_the_rest(spark):
+    # one source has high rates and many documents, another has the same rates and only a few
+    rows = [("en", "large", 1000 + k % 7) for k in range(5000)] + [("en", "small", 1000)] * 3 + [("en", "plain", k % 7) for k in range(5000)] + [("fr", None, 3)]
+    counted = spark.createDataFrame(rows, "q_lang string, q_source string, q_symbol long").selectExpr("*", "q_symbol AS q_upper", "q_symbol AS q_repeat", "10000L AS q_chars", "10000L AS q_words")
+    fence = {(r.q_lang, r.q_source): r.symbol_fence for r in quality.thresholds(counted, 1.0, 1).collect()}
+    assert fence["en", "large"] < 1100 and fence["en", "plain"] < 20
+    # its quartiles are those of the language, nearly: one half low, one half high
+    assert fence["en", "small"] > 1500 and len(fence) == 4
+
+
 def test_sketches_merge(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), rng.randrange(10_000)) for _ in range(500)]
