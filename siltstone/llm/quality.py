@@ -129,6 +129,8 @@ def within(count: Column, of: Column, fence: Column, surprise: float) -> Column:
 def _judged(docs: DataFrame, keep_cols: list[str], text_col: str, lang_col: str, source_col: str, surprise: float, **adaptive) -> DataFrame:
     m = measures(F.col(text_col))
     own = docs.select(*(F.col(c).alias(f"__d_{c}") for c in keep_cols), F.col(lang_col).alias("q_lang"), F.col(source_col).alias("q_source"), *(c.alias(f"q_{k}") for k, c in m.items()))
+    # counted once, for the fences and for judging
+    own = stored(own, "quality-counts")
     limits = stored(thresholds(own, **adaptive), "quality-thresholds")
     # limits is read from files, so its size is known when the join is planned
     limits = limits.withColumnsRenamed({"q_lang": "l_q_lang", "q_source": "l_q_source"})
