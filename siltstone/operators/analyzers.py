@@ -50,11 +50,16 @@ def complexity(decls: DataFrame, most: int = 15, most_cognitive: int = 20) -> Da
 
 
 def large_functions(decls: DataFrame, most: int = 50) -> DataFrame:
-    """decls: file, name, recv, line, end_line, is_generated.  More lines than ``most``; twice and four times are worse."""
+    """decls: file, name, recv, line, end_line, is_generated, and makes_command where known.  More lines than ``most``; twice and four times are worse.
+
+    Constructors of commands, which are long for their texts, are exempt.
+    """
     lines = F.col("end_line") - F.col("line") + 1
+    if "makes_command" in decls.columns:
+        decls = decls.where("NOT makes_command")
     rows = decls.where(~F.col("is_generated")).withColumn("lines", lines).where(F.col("lines") > most)
     grade = F.when(F.col("lines") > most * 4, "critical").when(F.col("lines") > most * 2, "warning").otherwise("hint")
-    return finding(rows, "large-functions", "complexity", grade, "LF001", _text(S.func_label(F.col("recv"), F.col("name")), " has ", F.col("lines"), " lines"), "", "split the function")
+    return finding(rows, "large-functions", "code-smell", grade, "LF001", _text(S.func_label(F.col("recv"), F.col("name")), " has ", F.col("lines"), " lines"), "", "split the function")
 
 
 def naming(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -121,8 +126,8 @@ def feature_flags(build_tags: DataFrame, lookups: DataFrame) -> DataFrame:
 
 def registered_flags(calls: DataFrame) -> DataFrame:
     """calls: file, line, qualifier, selector, literal: every flag that is registered."""
-    rows = calls.where(F.col("literal").isNotNull() & (F.col("qualifier") == "flag") & F.col("selector").isin(*"Bool Duration Float64 Int String".split()))
-    return finding(rows, "dead-flags", "code-smell", "warning", "DF002", _text("flag ", F.col("literal"), " is registered"))
+    rows = calls.where(F.col("literal").isNotNull() & (F.col("qualifier") == "flag") & F.col("selector").isin("Bool", "Duration", "Float64", "Int", "String"))
+    return finding(rows, "dead-flags", "dead-code", "warning", "DF002", _text("flag ", F.col("literal"), " is registered"))
 
 
 def external_users(uses: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -131,17 +136,16 @@ def external_users(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     return uses.join(own, "symbol").where("using_pkg <> owner_pkg").select("symbol", "using_pkg").distinct()
 
 
-def propagated(users: DataFrame, type_refs: DataFrame, max_rounds: int = 20) -> DataFrame:
+def propagated(users: DataFrame, type_refs: DataFrame) -> DataFrame:
     """Users of a symbol use what its signature names (owner, ref), and so on until nothing is new."""
-    known = stored(users.distinct(), "users")
-    front = known
-    for _ in range(max_rounds):
-        step = front.join(type_refs, F.col("symbol") == F.col("owner")).select(F.col("ref").alias("symbol"), "using_pkg").distinct()
+    known = front = stored(users.distinct(), "users")
+    refs = stored(type_refs.select("owner", "ref").distinct(), "users")
+    while True:
+        step = front.join(refs, F.col("symbol") == F.col("owner")).select(F.col("ref").alias("symbol"), "using_pkg").distinct()
         front = stored(step.join(known, ["symbol", "using_pkg"], "left_anti"), "users")
         if front.isEmpty():
-            break
-        known = known.unionByName(front)
-    return known
+            return known
+        known = stored(known.unionByName(front), "users")
 
 
 def unused_exports(symbols: DataFrame, users: DataFrame) -> DataFrame:
@@ -159,22 +163,41 @@ def api_surface(symbols: DataFrame, uses: DataFrame, implements: DataFrame) -> D
     return finding(rows, "api-surface", "unused", F.when(F.col("all") > 0, "info").otherwise("warning"), "AS001", _text(F.col("name"), " need not be exported"))
 
 
-def unreferenced(items: DataFrame, used: DataFrame, key: str, analyzer: str, category: str, severity: str, rule: str, what: str) -> DataFrame:
-    """Items (key, name) that are never used (key): constants, fields, interface methods, files."""
-    rows = items.join(used.select(key).distinct(), key, "left_anti")
-    return finding(rows, analyzer, category, severity, rule, _text(what + " ", F.col("name"), " is not used"))
+def dead_constants(constants: DataFrame, uses: DataFrame) -> DataFrame:
+    """constants: symbol, name (exported ones); those in no use (symbol) at all."""
+    rows = constants.join(uses.select("symbol").distinct(), "symbol", "left_anti")
+    return finding(rows, "dead-flags", "dead-code", "info", "DF001", _text("constant ", F.col("name"), " is not used"))
+
+
+def unused_fields(fields: DataFrame, selections: DataFrame) -> DataFrame:
+    """fields: owner, name, exported, embedded, is_generated; selections: name of every field that is selected or set by its name."""
+    own = fields.where("NOT exported AND NOT embedded AND NOT is_generated")
+    rows = own.join(selections.select("name").distinct(), "name", "left_anti")
+    return finding(rows, "unused-members", "unused", "info", "UM001", _text("field ", F.col("owner"), ".", F.col("name"), " is not used"))
+
+
+def unimplemented_methods(iface_methods: DataFrame, methods: DataFrame) -> DataFrame:
+    """iface_methods: owner, name; methods: name of every method of a type, those of tests too.  Methods go by name."""
+    rows = iface_methods.join(methods.select("name").distinct(), "name", "left_anti")
+    return finding(rows, "unused-members", "unused", "info", "UM002", _text("method ", F.col("owner"), ".", F.col("name"), " has no implementation"))
+
+
+def unused_files(candidates: DataFrame, loaded: DataFrame) -> DataFrame:
+    """candidates and loaded: file; files on disk, of the kind that packages are made of, that no package has."""
+    rows = candidates.join(loaded.select("file").distinct(), "file", "left_anti")
+    return finding(rows, "unused-files", "unused", "warning", "UF001", _text("file ", F.col("file"), " is not used"))
 
 
 def unused_modules(requirements: DataFrame, imports: DataFrame) -> DataFrame:
     """requirements: file, line, module, indirect; imports: path."""
     rows = R.prefix_unused(requirements.where("NOT indirect"), imports)
-    return finding(rows, "unused-deps", "dependencies", "warning", "UD001", _text("module ", F.col("module"), " is not imported"), "", "remove it")
+    return finding(rows, "unused-deps", "unused", "warning", "UD001", _text("module ", F.col("module"), " is not imported"), "", "remove it")
 
 
 def unused_replacements(replacements: DataFrame, imports: DataFrame) -> DataFrame:
     """replacements: file, line, old_path; any prefix counts."""
     rows = R.prefix_unused(replacements.withColumnRenamed("old_path", "module"), imports, boundary=False)
-    return finding(rows, "unused-overrides", "dependencies", "warning", "UO001", _text("replacement of ", F.col("module"), " has no effect"), "", "remove it")
+    return finding(rows, "unused-overrides", "unused", "warning", "UO001", _text("replacement of ", F.col("module"), " has no effect"), "", "remove it")
 
 
 def architecture(imports: DataFrame, rules: DataFrame) -> DataFrame:
@@ -214,10 +237,11 @@ def hotspots(functions: DataFrame, files: DataFrame, least_lines: int = 10, leas
 
 
 def churn(commits: DataFrame, least: int = 50, most: int = 100) -> DataFrame:
-    """commits: file, one row for each commit that touched it; the share of the busiest file is the detail."""
-    n = commits.groupBy("file").agg(F.count("*").alias("n"))
+    """commits: file, one row for each commit that touched it, and is_source where known; the share of the busiest file of any kind is the detail."""
+    keys = ["file", "is_source"] if "is_source" in commits.columns else ["file"]
+    n = commits.groupBy(*keys).agg(F.count("*").alias("n"))
     top = n.agg(F.max("n").alias("top"))
-    rows = n.where(F.col("n") >= least).crossJoin(F.broadcast(top))
+    rows = (n.where("is_source") if len(keys) > 1 else n).where(F.col("n") >= least).crossJoin(F.broadcast(top))
     grade = F.when(F.col("n") > most, "critical").when(F.col("n") > least, "warning").otherwise("info")
     return finding(rows, "churn", "code-smell", grade, "CH001", _text("changed ", F.col("n"), " times"), _text(F.floor(F.col("n") * 100 / F.col("top")), "%"))
 

@@ -1,14 +1,20 @@
-"""Graph operators on edge relations (src, dst), as iterated joins.
+"""Graph operators on edge relations (src, dst).
 
-An iteration keeps what is new, anti-joined with what is known, and writes it
-to the shared folder, so plans stay short and lost executors cost one round.
-The edges are partitioned by source once, for all rounds.
+A graph of at most :data:`LOCAL_EDGES` edges, which are counted first, is
+solved by one task with arrays.  A larger one is solved by iterated joins: an
+iteration keeps what is new, anti-joined with what is known, and writes it to
+the shared folder, so plans stay short and lost executors cost one round.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +22,8 @@ from siltstone.storage import stored
 
 #: The parts of a growing relation are merged into one after so many rounds.
 COMPACT = 8
+#: Graphs of up to this many edges (and given nodes) fit one task's memory many times over.
+LOCAL_EDGES = 1 << 20
 
 
 def _merged(parts: list[DataFrame], what: str) -> list[DataFrame]:
@@ -24,19 +32,148 @@ def _merged(parts: list[DataFrame], what: str) -> list[DataFrame]:
     return [stored(reduce(DataFrame.unionByName, parts), what)]
 
 
+class Local:
+    """A small graph as arrays: nodes are numbers in the order of their names."""
+
+    def __init__(self, src: pa.Array, dst: pa.Array):
+        marked = pa.concat_arrays([src, dst])
+        self.names = pc.unique(pc.drop_null(marked)).sort()
+        code = pc.index_in(marked, self.names)
+        code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False)
+        s, d = code[: len(src)], code[len(src) :]
+        #: rows without a source, and without a target
+        self.given, self.nodes = d[s < 0], s[d < 0]
+        inner = (s >= 0) & (d >= 0)
+        order = np.argsort(s[inner], kind="stable")
+        self.src, self.dst = s[inner][order], d[inner][order]
+        self.n = len(self.names)
+        self.first = np.searchsorted(self.src, np.arange(self.n + 1))
+
+    def after(self, front: np.ndarray) -> np.ndarray:
+        """The numbers of the edges that leave the front."""
+        begin, count = self.first[front], self.first[front + 1] - self.first[front]
+        return np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+
+    def depths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes reached from the given ones, their distance and least parent (-1)."""
+        depth, parent = np.full(self.n, -1), np.full(self.n, -1)
+        front = np.unique(self.given)
+        depth[front] = k = 0
+        while len(front):
+            k += 1
+            e = self.after(front)
+            e = e[depth[self.dst[e]] < 0]
+            e = e[np.lexsort((self.src[e], self.dst[e]))]
+            front, at = np.unique(self.dst[e], return_index=True)
+            depth[front], parent[front] = k, self.src[e][at]
+        found = np.flatnonzero(depth >= 0)
+        return found, depth[found], parent[found]
+
+    def layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """The longest way to each node; nodes on cycles and behind them are in one last layer."""
+        into = np.bincount(self.dst, minlength=self.n)
+        layer = np.full(self.n, -1)
+        front, k = np.flatnonzero(into == 0), 0
+        while len(front):
+            layer[front] = k
+            k += 1
+            hit = self.dst[self.after(front)]
+            np.subtract.at(into, hit, 1)
+            hit = np.unique(hit)
+            front = hit[into[hit] == 0]
+        layer[layer < 0] = k
+        return np.arange(self.n), layer
+
+    def components(self) -> np.ndarray:
+        """Of each node, the least node of its strongly connected component (Tarjan's search, without recursion)."""
+        index, low, out = np.full(self.n, -1), np.zeros(self.n, np.int64), np.full(self.n, -1)
+        dst, first = self.dst.tolist(), self.first.tolist()
+        on, stack, count = np.zeros(self.n, bool), [], 0
+        for start in range(self.n):
+            if index[start] >= 0:
+                continue
+            work = [(start, first[start])]
+            while work:
+                v, at = work.pop()
+                if index[v] < 0:
+                    index[v] = low[v] = count
+                    count += 1
+                    stack.append(v)
+                    on[v] = True
+                down = False
+                while at < first[v + 1]:
+                    w = dst[at]
+                    if index[w] < 0:
+                        work.append((v, at))
+                        work.append((w, first[w]))
+                        down = True
+                        break
+                    if on[w]:
+                        low[v] = min(low[v], low[w])
+                    at += 1
+                if down:
+                    continue
+                if low[v] == index[v]:
+                    group = []
+                    while not group or group[-1] != v:
+                        group.append(stack.pop())
+                        on[group[-1]] = False
+                    out[group] = min(group)
+                for u, _ in work[-1:]:
+                    low[u] = min(low[u], low[v])
+        return out
+
+
+def _is_small(*parts: DataFrame) -> bool:
+    """Whether stored tables have few enough rows for one task; they are counted from their files' footers."""
+    return sum(p.count() for p in parts) <= LOCAL_EDGES
+
+
+def _locally(edges: DataFrame, given: DataFrame | None, nodes: DataFrame | None, schema: str, solve: Callable[[Local], list]) -> DataFrame:
+    """Solves a small graph in one task; columns of node numbers, marked by a tuple (numbers,), become names."""
+    kind = edges.schema["src"].dataType
+    rows = edges.select("src", "dst")
+    if given is not None:
+        rows = rows.union(given.select(F.lit(None).cast(kind).alias("src"), F.col(given.columns[0]).alias("dst")))
+    if nodes is not None:
+        rows = rows.union(nodes.select(F.col(nodes.columns[0]).alias("src"), F.lit(None).cast(kind).alias("dst")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        src, dst = (table.column(c).combine_chunks() for c in ("src", "dst"))
+        if isinstance(src, pa.ChunkedArray):
+            src, dst = pa.concat_arrays(src.chunks), pa.concat_arrays(dst.chunks)
+        graph = Local(src, dst)
+        columns = []
+        for c in solve(graph):
+            if isinstance(c, tuple):
+                c = graph.names.take(pa.array(np.where(c[0] < 0, 0, c[0]), mask=c[0] < 0)) if graph.n else graph.names
+            columns.append(c if isinstance(c, pa.Array) else pa.array(c))
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+    return rows.coalesce(1).mapInArrow(run, schema)
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """(node): all nodes reached from the seeds (their first column), seeds too.
 
-    Each round goes up to ``hops`` edges further, in one job.
+    In a large graph each round goes up to ``hops`` edges further, in one job:
+    one for wide fronts, more for long chains.
     """
-    e = edges.select("src", "dst").repartition("src").persist()
+    e = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "reach-edges")
+    first = stored(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node IS NOT NULL").distinct(), "reach")
+    if _is_small(e, first):
+        return stored(_locally(e, first, None, f"node {e.schema['src'].dataType.simpleString()}", lambda g: [(g.depths()[0],)]), "reach")
+    e = e.repartition("src").persist()
     try:
-        known = [stored(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node IS NOT NULL").distinct(), "reach")]
-        front = known[0]
+        known, front = [first], first
         while True:
             step, steps = front, []
             for _ in range(hops):
@@ -53,11 +190,19 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
 
 def depths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth, parent): distance from the nearest seed, and the least node one step nearer (null for seeds)."""
-    e = edges.select("src", "dst").repartition("src").persist()
     kind = edges.schema["src"].dataType.simpleString()
+    e = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "depths-edges")
+    first = stored(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node IS NOT NULL").distinct(), "depths")
+    if _is_small(e, first):
+
+        def solve(g: Local) -> list:
+            node, depth, parent = g.depths()
+            return [(node,), depth.astype(np.int32), (parent,)]
+
+        return stored(_locally(e, first, None, f"node {kind}, depth int, parent {kind}", solve), "depths")
+    e = e.repartition("src").persist()
     try:
-        first = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node IS NOT NULL").distinct()
-        known = [stored(first.select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")), "depths")]
+        known = [first.select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"))]
         front, depth = known[0], 0
         while True:
             depth += 1
@@ -91,23 +236,33 @@ def shortest_chain(edges: DataFrame, seeds: DataFrame, target: object) -> list:
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, layer): 0 where no edge comes in, else one more than the last predecessor's layer.
 
-    Nodes on cycles, and behind them, are in one layer after all others.
+    Nodes on cycles, and behind them, are in one layer after all others.  A
+    round of a large graph subtracts the edges that leave the last layer from
+    the numbers of edges that come in; edges are read for that layer only.
     """
-    nodes = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
-    e = edges.select("src", "dst").distinct().repartition("src").persist()
+    kind = edges.schema["src"].dataType.simpleString()
+    nodes = stored(nodes.select(F.col(nodes.columns[0]).cast(kind).alias("node")).distinct(), "layers-nodes")
+    e = edges.select("src", "dst").distinct()
+    e = stored(e.join(nodes, F.col("src") == F.col("node"), "left_semi").join(nodes, F.col("dst") == F.col("node"), "left_semi"), "layers-edges")
+    if _is_small(e, nodes):
+
+        def solve(g: Local) -> list:
+            node, layer = g.layers()
+            return [(node,), layer.astype(np.int32)]
+
+        return stored(_locally(e, None, nodes, f"node {kind}, layer int", solve), "layers")
+    e = e.repartition("src").persist()
     try:
+        into = stored(nodes.join(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("into")), "node", "left").na.fill(0, ["into"]), "layers")
         known: list[DataFrame] = []
         layer = 0
         while True:
-            left, open_edges = nodes, e
-            if known:
-                done = reduce(DataFrame.unionByName, known).select("node")
-                left = nodes.join(done, "node", "left_anti")
-                open_edges = e.join(done, F.col("src") == F.col("node"), "left_anti")
-            free = left.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-            free = stored(free.select("node", F.lit(layer).alias("layer")), "layers")
+            free = stored(into.where("into = 0").select("node", F.lit(layer).alias("layer")), "layers")
             if free.isEmpty():
-                return reduce(DataFrame.unionByName, [*known, left.select("node", F.lit(layer).alias("layer"))])
+                return reduce(DataFrame.unionByName, [*known, into.select("node", F.lit(layer).alias("layer"))])
+            less = free.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("less"))
+            into = into.where("into > 0").join(less, "node", "left").select("node", (F.col("into") - F.coalesce("less", F.lit(0))).alias("into"))
+            into = stored(into, "layers")
             known = _merged([*known, free], "layers")
             layer += 1
     finally:
@@ -170,21 +325,79 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
             return e
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the strongly connected components of two nodes or more, each by its least node.
+
+    In a large graph: every node takes the least node that reaches it as its
+    colour, the nodes of a colour that reach its least node back are one
+    component, and what is left is coloured again.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    e = stored(edges.select("src", "dst").where("src <> dst").distinct(), "components")
+    if _is_small(e):
+
+        def solve(g: Local) -> list:
+            own = g.components()
+            many = np.flatnonzero(np.bincount(own, minlength=g.n)[own] > 1)
+            return [(many,), (own[many],)]
+
+        return stored(_locally(e, None, None, f"node {kind}, component {kind}", solve), "components")
+    e = cyclic_core(e)
+    found: list[DataFrame] = []
+    while not e.isEmpty():
+        colour = stored(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("colour", F.col("node")), "colours")
+        while True:
+            least = e.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("least"))
+            after = stored(colour.join(least, "node", "left").select("node", F.least("colour", "least").alias("colour"), (F.col("least") < F.col("colour")).alias("new")), "colours")
+            colour, done = after.select("node", "colour"), after.where("new").isEmpty()
+            if done:
+                break
+        inner = e.join(colour.withColumnsRenamed({"node": "src", "colour": "c"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "d"}), "dst").where("c = d")
+        inner = stored(inner.select("src", "dst"), "colours")
+        back = reach(reversed_edges(inner), colour.where("node = colour").select("node"))
+        found.append(stored(colour.join(back, "node", "left_semi").select("node", F.col("colour").alias("component")), "components"))
+        e = e.join(back.withColumnRenamed("node", "src"), "src", "left_anti").join(back.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        e = cyclic_core(e)
+    if not found:
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+    every = reduce(DataFrame.unionByName, found)
+    return every.join(every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component", "left_semi").select("node", "component")
+
+
 def cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
-    """(cycle): simple cycles of at most ``max_length`` nodes, each once, its least node first.
+    """(cycle): simple cycles of at most ``max_length`` nodes, each once, its least node first; of components without one, a shortest cycle.
 
-    Only the cyclic core is searched, and only over nodes greater than the first.
+    So every node that is on a cycle of any length is in a component that is
+    reported.  The cycle of a component without a short one goes through its
+    least node; of equally short ones it is that of the least last node, and of
+    the least node before each other.
     """
-    e = cyclic_core(edges)
-    front = e.where("src < dst").select(F.array("src", "dst").alias("path"))
+    own = components(edges)
+    inner = edges.select("src", "dst").where("src <> dst").distinct()
+    inner = inner.join(own.withColumnsRenamed({"node": "src", "component": "c"}), "src").join(own.withColumnsRenamed({"node": "dst", "component": "d"}), "dst")
+    e = stored(inner.where("c = d").select("src", "dst", F.col("c").alias("component")), "cycles")
+    front = e.where("src < dst").select("component", F.array("src", "dst").alias("path"))
+    step = e.select("src", "dst")
     found: list[DataFrame] = []
     for length in range(2, max_length + 1):
         last = F.element_at("path", -1)
-        found.append(front.join(e, (last == F.col("src")) & (F.col("dst") == F.col("path")[0]), "left_semi"))
+        found.append(front.join(step, (last == F.col("src")) & (F.col("dst") == F.col("path")[0]), "left_semi"))
         if length < max_length:
-            onward = front.join(e, last == F.col("src")).where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst")))
-            front = onward.select(F.concat("path", F.array("dst")).alias("path"))
-    return reduce(DataFrame.unionByName, found).withColumnRenamed("path", "cycle")
+            onward = front.join(step, last == F.col("src")).where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst")))
+            front = stored(onward.select("component", F.concat("path", F.array("dst")).alias("path")), "cycles")
+    short = stored(reduce(DataFrame.unionByName, found), "cycles")
+    long = stored(e.join(short, "component", "left_anti"), "cycles")
+    out = short.select(F.col("path").alias("cycle"))
+    if long.isEmpty():
+        return out
+    d = stored(depths(long, long.select("component").distinct()), "cycles")
+    last = long.where("dst = component").join(d, F.col("src") == F.col("node")).groupBy("component").agg(F.min(F.struct("depth", "src")).alias("m"))
+    chain = stored(last.select("component", F.col("m.src").alias("at"), F.array("m.src").alias("path")), "cycles")
+    while not chain.where("at <> component").isEmpty():
+        back = chain.join(d.select("node", "parent"), F.col("at") == F.col("node"), "left")
+        before = F.coalesce("parent", "at")
+        chain = stored(back.select("component", before.alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path")), "cycles")
+    return out.unionByName(chain.select(F.col("path").alias("cycle")))
 
 
 def module_graph(imports: DataFrame, packages: DataFrame) -> DataFrame:

@@ -170,14 +170,16 @@ def prefix_unused(modules: DataFrame, used: DataFrame, boundary: bool = True) ->
 
     With ``boundary`` the prefix must end at a slash: imports are expanded into
     their prefixes and joined by equality.  Without, any prefix counts; the
-    modules' lengths, a few numbers, say which prefixes to make.
+    first character, and then the prefix of a module's own length, are joined.
     """
     if boundary:
         heads = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: S.components("path", k))
         known = used.select(F.explode(heads).alias("module")).distinct()
         return modules.join(known, "module", "left_anti")
-    lengths = modules.select(F.length("module").alias("n")).distinct()
-    known = used.distinct().join(F.broadcast(lengths.where("n < 4096")), F.length("path") >= F.col("n")).select(F.expr("substring(path, 1, n)").alias("module")).distinct()
+    # lengths of modules by their first character: a path makes as many prefixes as there are lengths, of any size
+    lengths = modules.select(F.substring("module", 1, 1).alias("c"), F.length("module").alias("n")).distinct()
+    heads = used.select("path").distinct().withColumn("c", F.explode(F.array_distinct(F.array(F.lit(""), F.substring("path", 1, 1)))))
+    known = heads.join(lengths, "c").where("length(path) >= n").select(F.expr("substring(path, 1, n)").alias("module")).distinct()
     return modules.join(known, "module", "left_anti")
 
 
@@ -222,6 +224,50 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def difference(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """The rows, once each, whose keys ``gone`` does not have; null keys are equal to each other."""
+    own = gone.select(*(F.col(k).alias(f"g_{k}") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
+    return rows.distinct().join(own, same, "left_anti")
+
+
+def union_distinct(parts: list[DataFrame], *columns: str) -> DataFrame:
+    """The columns' values in any part, once each: imports of syntax, of packages and of files that were not loaded."""
+    out = parts[0].select(*columns)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*columns))
+    return out.distinct()
+
+
+def project_stats(facts: DataFrame) -> DataFrame:
+    """One row of (package, file, n_decls, n_types, n_funcs) facts: packages, files, decls, functions, types."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return facts.agg(
+        F.countDistinct("package").alias("packages"), F.countDistinct("file").alias("files"), total("n_decls", "decls"), total("n_funcs", "functions"), total("n_types", "types")
+    )
+
+
+def coverage_gaps(functions: DataFrame, tests: DataFrame, calls: DataFrame) -> DataFrame:
+    """Functions (pkg, name, ...) of packages for which there is neither a ``TestName`` nor a call from a test.
+
+    tests: pkg, name of test functions; calls: pkg, name that test functions call.
+    """
+    named = tests.where(F.col("name").startswith("Test")).select("pkg", F.expr("substring(name, 5)").alias("name"))
+    covered = named.unionByName(calls.select("pkg", "name")).distinct()
+    return functions.join(covered, ["pkg", "name"], "left_anti").select(*functions.columns)
+
+
+def test_probe(files: DataFrame) -> DataFrame:
+    """(file, folder_tested, file_tested) of the source files (column file): whether their folder, and they themselves, have a test file."""
+    folder = F.regexp_replace("file", "(^|/)[^/]*$", "")
+    tests = files.where(F.col("file").endswith("_test.go"))
+    folders = tests.select(folder.alias("t_folder")).distinct().withColumn("in_folder", F.lit(True))
+    siblings = tests.select(F.regexp_replace("file", "_test[.]go$", ".go").alias("t_file")).distinct().withColumn("itself", F.lit(True))
+    own = files.where(~F.col("file").endswith("_test.go")).select("file").distinct().withColumn("folder", folder)
+    joined = own.join(folders, F.col("folder") == F.col("t_folder"), "left").join(siblings, F.col("file") == F.col("t_file"), "left")
+    return joined.select("file", F.coalesce("in_folder", F.lit(False)).alias("folder_tested"), F.coalesce("itself", F.lit(False)).alias("file_tested"))
+
+
 def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) of two snapshots of (path, mtime): added, modified or deleted."""
     b = before.select(F.col("path").alias("b_path"), F.col("mtime").alias("b_mtime"))

@@ -8,11 +8,20 @@ from siltstone.functions import scalar as S
 from siltstone.operators import analyzers as A
 from siltstone.operators import reports as P
 from siltstone.schema import SECRETS, Catalog
-from siltstone.sources.tables import IMPORTS_SQL, RULES_SQL, SYMBOLS_SQL, imports, rules, symbols, table
+from siltstone.sources.tables import IMPORTS_SQL, RULES_SQL, SYMBOLS_SQL, imports, module_imports, rules, symbols, table
 
 catalog = Catalog()
 
 
+def _kinds(analyzer: str, category: str, severity: str | None = None, rule: str | None = None) -> str:
+    """The columns that are the same in all rows of an analyzer's SQL."""
+    out = f"'{analyzer}' AS analyzer, '{category}' AS category"
+    return out + (f", '{severity}' AS severity" if severity else "") + (f", '{rule}' AS rule_id" if rule else "")
+
+
+_KINDS = ["analyzer", "category", "severity", "rule_id"]
+
+
 def declarations(spark, sf_dir):
     """A declaration for each document: its lines, branches by line breaks, nesting by commas."""
     d = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
@@ -33,14 +42,14 @@ def grade(x, limit):
     return f"CASE WHEN {x} >= {limit * 3} THEN 'critical' WHEN {x} >= {limit * 2} THEN 'warning' ELSE 'hint' END"
 
 
-@catalog.add("anl01_complexity", f"WITH {_DECLS} SELECT file, line, 'CX001' AS rule_id, {grade('cyc', 15)} AS severity, label || ' has cyclomatic complexity ' || cyc AS message, 'cognitive ' || cog AS detail FROM decls WHERE cyc > 15 UNION ALL SELECT file, line, 'CX002', {grade('cog', 20)}, label || ' has cognitive complexity ' || cog, 'cyclomatic ' || cyc FROM decls WHERE cyc <= 15 AND cog > 20")
+@catalog.add("anl01_complexity", f"WITH {_DECLS} SELECT {_kinds('complexity', 'complexity')}, file, line, 'CX001' AS rule_id, {grade('cyc', 15)} AS severity, label || ' has cyclomatic complexity ' || cyc AS message, 'cognitive ' || cog AS detail FROM decls WHERE cyc > 15 UNION ALL SELECT 'complexity', 'complexity', file, line, 'CX002', {grade('cog', 20)}, label || ' has cognitive complexity ' || cog, 'cyclomatic ' || cyc FROM decls WHERE cyc <= 15 AND cog > 20")
 def anl01(spark, sf_dir):
-    return A.complexity(declarations(spark, sf_dir)).select("file", "line", "rule_id", "severity", "message", "detail")
+    return A.complexity(declarations(spark, sf_dir)).select(*_KINDS, "file", "line", "message", "detail")
 
 
-@catalog.add("anl03_large_functions", f"WITH {_DECLS} SELECT file, line, end_line, CASE WHEN end_line - line + 1 > 200 THEN 'critical' WHEN end_line - line + 1 > 100 THEN 'warning' ELSE 'hint' END AS severity, label || ' has ' || (end_line - line + 1) || ' lines' AS message FROM decls WHERE end_line - line + 1 > 50")
+@catalog.add("anl03_large_functions", f"WITH {_DECLS} SELECT {_kinds('large-functions', 'code-smell', None, 'LF001')}, file, line, end_line, CASE WHEN end_line - line + 1 > 200 THEN 'critical' WHEN end_line - line + 1 > 100 THEN 'warning' ELSE 'hint' END AS severity, label || ' has ' || (end_line - line + 1) || ' lines' AS message FROM decls WHERE end_line - line + 1 > 50")
 def anl03(spark, sf_dir):
-    return A.large_functions(declarations(spark, sf_dir)).select("file", "line", "end_line", "severity", "message")
+    return A.large_functions(declarations(spark, sf_dir)).select(*_KINDS, "file", "line", "end_line", "message")
 
 
 def _names(spark, sf_dir):
@@ -53,75 +62,75 @@ _NAMES = """names AS (SELECT p_brand AS file, CAST(p_partkey AS INTEGER) AS line
   ELSE array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1:1]) || w[2:]), '') || 'UrlId' END AS name FROM part)"""
 
 
-@catalog.add("anl04_naming", f"WITH {_NAMES} SELECT file, line, 'NM001' AS rule_id, name || ' has underscores' AS message FROM names WHERE contains(name, '_') AND NOT starts_with(name, '_') AND NOT regexp_matches(name, '_(test|mock)$') UNION ALL SELECT file, line, 'NM002', name || ' is all capitals' FROM names WHERE regexp_matches(name, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$') UNION ALL SELECT file, line, 'NM004', name || ' has ' || x FROM names, (VALUES ('Api'), ('Html'), ('Http'), ('Https'), ('Id'), ('Ip'), ('Json'), ('Sql'), ('Ssl'), ('Tcp'), ('Udp'), ('Url'), ('Xml')) v(x) WHERE contains(name, x)")
+@catalog.add("anl04_naming", f"WITH {_NAMES} SELECT {_kinds('naming', 'code-smell', 'hint')}, file, line, 'NM001' AS rule_id, name || ' has underscores' AS message FROM names WHERE contains(name, '_') AND NOT starts_with(name, '_') AND NOT regexp_matches(name, '_(test|mock)$') UNION ALL SELECT 'naming', 'code-smell', 'hint', file, line, 'NM002', name || ' is all capitals' FROM names WHERE regexp_matches(name, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$') UNION ALL SELECT 'naming', 'code-smell', 'hint', file, line, 'NM004', name || ' has ' || x FROM names, (VALUES ('Api'), ('Html'), ('Http'), ('Https'), ('Id'), ('Ip'), ('Json'), ('Sql'), ('Ssl'), ('Tcp'), ('Udp'), ('Url'), ('Xml')) v(x) WHERE contains(name, x)")
 def anl04(spark, sf_dir):
-    return A.naming(_names(spark, sf_dir)).select("file", "line", "rule_id", "message")
+    return A.naming(_names(spark, sf_dir)).select(*_KINDS, "file", "line", "message")
 
 
 def _texts(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text", "source").select(F.col("source").alias("file"), F.col("doc_id").alias("line"), "text")
 
 
-@catalog.add("anl05_security_todo", r"SELECT source AS file, CAST(doc_id AS INTEGER) AS line, text[1:200] AS message FROM documents WHERE regexp_matches(text, '\b(BUG|XXX|HACK|FIXME|TODO)\b[\s:]')")
+@catalog.add("anl05_security_todo", r"SELECT 'security' AS analyzer, 'code-smell' AS category, 'info' AS severity, 'SC010' AS rule_id, source AS file, CAST(doc_id AS INTEGER) AS line, text[1:200] AS message FROM documents WHERE regexp_matches(text, '\b(BUG|XXX|HACK|FIXME|TODO)\b[\s:]')")
 def anl05(spark, sf_dir):
-    return A.todos(_texts(spark, sf_dir)).select("file", "line", "message")
+    return A.todos(_texts(spark, sf_dir)).select(*_KINDS, "file", "line", "message")
 
 
-@catalog.add("anl06_security_secrets", " UNION ALL ".join(f"SELECT source AS file, CAST(doc_id AS INTEGER) AS line, '{rule}' AS rule_id FROM documents WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for rule, _, p in SECRETS))
+@catalog.add("anl06_security_secrets", " UNION ALL ".join(f"SELECT {_kinds('security', 'code-smell', 'critical', rule)}, source AS file, CAST(doc_id AS INTEGER) AS line FROM documents WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for rule, _, p in SECRETS))
 def anl06(spark, sf_dir):
-    return A.secrets(_texts(spark, sf_dir)).select("file", "line", "rule_id")
+    return A.secrets(_texts(spark, sf_dir)).select(*_KINDS, "file", "line")
 
 
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line"), "event_type", "value")
 
 
-@catalog.add("anl07_security_unsafe", "SELECT 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line, 'unsafe.' || event_type AS message FROM events WHERE value > 50")
+@catalog.add("anl07_security_unsafe", f"SELECT {_kinds('security', 'code-smell', 'warning', 'SC020')}, 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line, 'unsafe.' || event_type AS message FROM events WHERE value > 50")
 def anl07(spark, sf_dir):
     e = _events(spark, sf_dir).select("file", "line", F.when(F.col("value") > 50, "unsafe").otherwise("fmt").alias("x"), F.col("event_type").alias("sel"))
-    return A.unsafe_use(e).select("file", "line", "message")
+    return A.unsafe_use(e).select(*_KINDS, "file", "line", "message")
 
 
-@catalog.add("anl08_security_sql", "SELECT 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line FROM events WHERE event_type IN ('click', 'view') AND value > 50")
+@catalog.add("anl08_security_sql", f"SELECT {_kinds('security', 'code-smell', 'critical', 'SC030')}, 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line FROM events WHERE event_type IN ('click', 'view') AND value > 50")
 def anl08(spark, sf_dir):
     kind = F.when(F.col("value") > 50, "concat").otherwise("constant")
     arg = lambda k, t: F.struct(k.alias("kind"), t.alias("text"))
     text = F.concat(F.lit("SELECT a FROM t -- "), "event_type")
     args = F.when(F.col("event_type") == "view", F.array(arg(F.lit("ident"), F.lit("ctx")), arg(kind, text))).otherwise(F.array(arg(kind, text)))
     selector = S.choose(F.col("event_type"), {"click": "Query", "view": "ExecContext"}, "Println")
-    return A.sql_text(_events(spark, sf_dir).select("file", "line", selector.alias("selector"), args.alias("args"))).select("file", "line")
+    return A.sql_text(_events(spark, sf_dir).select("file", "line", selector.alias("selector"), args.alias("args"))).select(*_KINDS, "file", "line")
 
 
-@catalog.add("anl09_self_recursion", "SELECT CAST(o_orderkey AS INTEGER) AS line, 'f' || o_custkey || ' calls itself first' AS message FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
+@catalog.add("anl09_self_recursion", f"SELECT {_kinds('self-recursion', 'code-smell', 'critical', 'SR001')}, CAST(o_orderkey AS INTEGER) AS line, 'f' || o_custkey || ' calls itself first' AS message FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
 def anl09(spark, sf_dir):
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
     name = F.concat(F.lit("f"), F.col("o_custkey").cast("string"))
     decls = o.select(F.col("o_orderkey").alias("decl_id"), F.col("o_orderkey").alias("line"), name.alias("name"), F.when(F.col("o_orderstatus") == "F", "t").alias("recv_name"))
     known = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("o_custkey"))
     calls = o.join(known, "o_custkey").select(F.col("o_orderkey").alias("decl_id"), F.lit("t").alias("qualifier"), name.alias("selector"))
-    return A.self_recursion(decls, calls).select("line", "message")
+    return A.self_recursion(decls, calls).select(*_KINDS, "line", "message")
 
 
-@catalog.add("anl10_thin_wrappers", "SELECT p_brand AS file, CAST(p_partkey AS INTEGER) AS line, p_name || ' only calls ' || p_type AS message FROM part WHERE p_size <= 2 AND p_retailprice < 1500")
+@catalog.add("anl10_thin_wrappers", f"SELECT {_kinds('thin-wrappers', 'code-smell', 'hint', 'TW001')}, p_brand AS file, CAST(p_partkey AS INTEGER) AS line, p_name || ' only calls ' || p_type AS message FROM part WHERE p_size <= 2 AND p_retailprice < 1500")
 def anl10(spark, sf_dir):
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size", "p_retailprice")
     decls = p.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), F.col("p_name").alias("name"), F.col("p_size").alias("stmt_count"), F.col("p_type").alias("calls_only"), (F.col("p_retailprice") >= 1500).alias("exempt"))
-    return A.thin_wrappers(decls).select("file", "line", "message")
+    return A.thin_wrappers(decls).select(*_KINDS, "file", "line", "message")
 
 
-@catalog.add("anl11_feature_flags", "SELECT 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line, 'FF001' AS rule_id FROM events WHERE event_type = 'click' UNION ALL SELECT 'u' || user_id, CAST(event_id AS INTEGER), 'FF002' FROM events WHERE value > 50 AND event_type <> 'view'")
+@catalog.add("anl11_feature_flags", f"SELECT {_kinds('feature-flags', 'code-smell', 'info')}, 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line, 'FF001' AS rule_id FROM events WHERE event_type = 'click' UNION ALL SELECT 'feature-flags', 'code-smell', 'info', 'u' || user_id, CAST(event_id AS INTEGER), 'FF002' FROM events WHERE value > 50 AND event_type <> 'view'")
 def anl11(spark, sf_dir):
     e = _events(spark, sf_dir)
     tags = e.select("file", "line", F.when(F.col("event_type") == "click", "//go:build linux").otherwise("// go:building").alias("text"))
     looks = e.select("file", "line", F.concat(F.upper("event_type"), F.when(F.col("event_type") == "view", "_DEBUG").otherwise("_NEW")).alias("name"), (F.col("value") > 50).alias("in_condition"))
-    return A.feature_flags(tags, looks).select("file", "line", "rule_id")
+    return A.feature_flags(tags, looks).select(*_KINDS, "file", "line")
 
 
-@catalog.add("anl12_dead_flags_registered", "SELECT 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line, 'flag ' || event_type || ' is registered' AS message FROM events WHERE value > 50")
+@catalog.add("anl12_dead_flags_registered", f"SELECT {_kinds('dead-flags', 'dead-code', 'warning', 'DF002')}, 'u' || user_id AS file, CAST(event_id AS INTEGER) AS line, 'flag ' || event_type || ' is registered' AS message FROM events WHERE value > 50")
 def anl12(spark, sf_dir):
     e = _events(spark, sf_dir)
     calls = e.select("file", "line", F.lit("flag").alias("qualifier"), F.when(F.col("value") > 50, "String").otherwise("Parse").alias("selector"), F.col("event_type").alias("literal"))
-    return A.registered_flags(calls).select("file", "line", "message")
+    return A.registered_flags(calls).select(*_KINDS, "file", "line", "message")
 
 
 @catalog.add("anl13_func_label", "SELECT p_partkey, CASE WHEN p_size > 25 THEN '(' || p_brand || ').' || p_name ELSE p_name END AS label FROM part")
@@ -133,83 +142,100 @@ def anl13(spark, sf_dir):
 _EXTERNAL = "external AS (SELECT DISTINCT symbol, using_pkg FROM uses JOIN symbols USING (symbol) WHERE using_pkg <> owner_pkg)"
 
 
-@catalog.add("anl20_unused_exports", f"""WITH {SYMBOLS_SQL}, {_EXTERNAL} SELECT 'exported "' || name || '" is used by no other package' AS message FROM symbols WHERE symbol NOT IN (SELECT symbol FROM external)""")
+@catalog.add("anl20_unused_exports", f"""WITH {SYMBOLS_SQL}, {_EXTERNAL} SELECT {_kinds('unused', 'unused', 'hint', 'UU001')}, 'exported "' || name || '" is used by no other package' AS message FROM symbols WHERE symbol NOT IN (SELECT symbol FROM external)""")
 def anl20(spark, sf_dir):
     own, uses = symbols(spark, sf_dir)
-    return A.unused_exports(own, A.external_users(uses, own)).select("message")
+    return A.unused_exports(own, A.external_users(uses, own)).select(*_KINDS, "message")
 
 
-_REFS = "refs AS (SELECT DISTINCT l_partkey AS owner, l_suppkey AS ref FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_shipdate < '1993-01-01')"
+_REFS = "refs AS (SELECT DISTINCT l_partkey AS owner, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey ELSE l_partkey // 2 END AS ref FROM lineitem)"
 
 
 @catalog.add("anl21_signature_usage_fixpoint", f"WITH RECURSIVE {SYMBOLS_SQL}, {_EXTERNAL}, {_REFS}, p AS (SELECT symbol, using_pkg FROM external UNION SELECT ref, using_pkg FROM p JOIN refs ON owner = symbol) SELECT symbol, count(*) AS users FROM p GROUP BY symbol")
 def anl21(spark, sf_dir):
     own, uses = symbols(spark, sf_dir)
-    items = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
-    refs = items.where("l_quantity = 50 AND l_returnflag = 'R' AND l_shipdate < '1993-01-01'").select(F.col("l_partkey").alias("owner"), F.col("l_suppkey").alias("ref")).distinct()
+    items = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_linenumber")
+    ref = F.expr("CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey ELSE l_partkey DIV 2 END")
+    refs = items.select(F.col("l_partkey").alias("owner"), ref.alias("ref")).distinct()
     return A.propagated(A.external_users(uses, own), refs).groupBy("symbol").agg(F.count("*").alias("users"))
 
 
-@catalog.add("anl22_api_surface", f"WITH {SYMBOLS_SQL}, u AS (SELECT symbol, owner_pkg, name, count(DISTINCT using_pkg) AS n, count(DISTINCT using_pkg) FILTER (using_pkg <> owner_pkg) AS o FROM symbols LEFT JOIN uses USING (symbol) WHERE kind <> 'BUILDING' GROUP BY ALL) SELECT name || ' need not be exported' AS message, CASE WHEN n > 0 THEN 'info' ELSE 'warning' END AS severity FROM u WHERE o = 0")
+@catalog.add("anl22_api_surface", f"WITH {SYMBOLS_SQL}, u AS (SELECT symbol, owner_pkg, name, count(DISTINCT using_pkg) AS n, count(DISTINCT using_pkg) FILTER (using_pkg <> owner_pkg) AS o FROM symbols LEFT JOIN uses USING (symbol) WHERE kind <> 'BUILDING' GROUP BY ALL) SELECT {_kinds('api-surface', 'unused', None, 'AS001')}, name || ' need not be exported' AS message, CASE WHEN n > 0 THEN 'info' ELSE 'warning' END AS severity FROM u WHERE o = 0")
 def anl22(spark, sf_dir):
     own, uses = symbols(spark, sf_dir)
-    return A.api_surface(own, uses, own.where("kind = 'BUILDING'")).select("message", "severity")
+    return A.api_surface(own, uses, own.where("kind = 'BUILDING'")).select(*_KINDS, "message")
 
 
-def _unreferenced(kind, rule):
-    def run(spark, sf_dir):
-        own, uses = symbols(spark, sf_dir)
-        return A.unreferenced(own.where(F.col("kind") == kind), uses, "symbol", "dead-flags", "unused", "info", rule, kind.lower()).select("message", "rule_id")
+@catalog.add("anl23_dead_constants", f"WITH {SYMBOLS_SQL} SELECT {_kinds('dead-flags', 'dead-code', 'info', 'DF001')}, 'constant ' || name || ' is not used' AS message FROM symbols WHERE kind = 'MACHINERY' AND symbol NOT IN (SELECT symbol FROM uses)")
+def anl23(spark, sf_dir):
+    own, uses = symbols(spark, sf_dir)
+    return A.dead_constants(own.where("kind = 'MACHINERY'"), uses).select(*_KINDS, "message")
 
-    return run
 
+_FIELDS = """WITH f AS (SELECT p_brand AS owner, CASE WHEN p_size % 2 = 0 THEN 'f' ELSE 'F' END || p_partkey AS name, p_size % 2 = 1 AS exported, p_size % 5 = 0 AS embedded, p_size % 7 = 0 AS is_generated FROM part), s AS (SELECT DISTINCT 'f' || l_suppkey * 2 AS name FROM lineitem)"""
 
-for _name, _kind, _rule in (("anl23_dead_constants", "MACHINERY", "DF001"), ("anl24_unused_fields", "FURNITURE", "UM001"), ("anl25_unimplemented_methods", "HOUSEHOLD", "UM002")):
-    catalog.add(_name, f"WITH {SYMBOLS_SQL} SELECT '{_kind.lower()} ' || name || ' is not used' AS message, '{_rule}' AS rule_id FROM symbols WHERE kind = '{_kind}' AND symbol NOT IN (SELECT symbol FROM uses)")(_unreferenced(_kind, _rule))
+
+@catalog.add("anl24_unused_fields", f"{_FIELDS} SELECT {_kinds('unused-members', 'unused', 'info', 'UM001')}, 'field ' || owner || '.' || name || ' is not used' AS message FROM f WHERE NOT exported AND NOT embedded AND NOT is_generated AND name NOT IN (SELECT name FROM s)")
+def anl24(spark, sf_dir):
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
+    odd = F.col("p_size") % 2 == 1
+    fields = p.select(
+        F.col("p_brand").alias("owner"), F.concat(F.when(odd, "F").otherwise("f"), F.col("p_partkey").cast("string")).alias("name"), odd.alias("exported"),
+        (F.col("p_size") % 5 == 0).alias("embedded"), (F.col("p_size") % 7 == 0).alias("is_generated"),
+    )
+    selected = table(spark, sf_dir, "lineitem", "l_suppkey").select(F.concat(F.lit("f"), (F.col("l_suppkey") * 2).cast("string")).alias("name"))
+    return A.unused_fields(fields, selected).select(*_KINDS, "message")
+
+
+@catalog.add("anl25_unimplemented_methods", f"SELECT {_kinds('unused-members', 'unused', 'info', 'UM002')}, 'method ' || c_mktsegment || '.Do' || c_custkey || ' has no implementation' AS message FROM customer WHERE c_custkey NOT IN (SELECT o_custkey - o_custkey % 3 FROM orders)")
+def anl25(spark, sf_dir):
+    named = lambda k: F.concat(F.lit("Do"), F.expr(k).cast("string")).alias("name")
+    wanted = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(F.col("c_mktsegment").alias("owner"), named("c_custkey"))
+    return A.unimplemented_methods(wanted, table(spark, sf_dir, "orders", "o_custkey").select(named("o_custkey - o_custkey % 3"))).select(*_KINDS, "message")
 
 
 def _import_paths(spark, sf_dir):
-    p = table(spark, sf_dir, "part", "p_name", "p_brand").where("p_brand LIKE 'Brand#1%'")
+    p = table(spark, sf_dir, "part", "p_name", "p_brand")
     return p.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("/"), "p_brand").alias("path"))
 
 
-_PATHS = "paths AS (SELECT DISTINCT replace(p_name, ' ', '/') || '/' || p_brand AS path FROM part WHERE p_brand LIKE 'Brand#1%')"
-_MODULES = "modules AS (SELECT DISTINCT replace(p_name, ' ', '/') AS module FROM part UNION SELECT DISTINCT substr(p_name, 1, 4) FROM part)"
+_PATHS = "paths AS (SELECT DISTINCT replace(p_name, ' ', '/') || '/' || p_brand AS path FROM part)"
+_MODULES = "modules AS (SELECT DISTINCT replace(p_name, ' ', '/') AS module FROM part UNION SELECT DISTINCT substr(p_name, 1, 4) FROM part UNION SELECT DISTINCT replace(p_type, ' ', '/') FROM part)"
 
 
 def _modules(spark, sf_dir):
-    p = table(spark, sf_dir, "part", "p_name")
-    return p.select(F.replace("p_name", F.lit(" "), F.lit("/")).alias("module")).union(p.select(F.substring("p_name", 1, 4))).distinct()
+    p = table(spark, sf_dir, "part", "p_name", "p_type")
+    return p.select(F.replace("p_name", F.lit(" "), F.lit("/")).alias("module")).union(p.select(F.substring("p_name", 1, 4))).union(p.select(F.replace("p_type", F.lit(" "), F.lit("/")))).distinct()
 
 
-@catalog.add("anl26_unused_deps", f"WITH {_PATHS}, {_MODULES} SELECT 'module ' || module || ' is not imported' AS message FROM modules WHERE NOT EXISTS (SELECT 1 FROM paths WHERE path = module OR starts_with(path, module || '/'))")
+@catalog.add("anl26_unused_deps", f"WITH {_PATHS}, {_MODULES} SELECT {_kinds('unused-deps', 'unused', 'warning', 'UD001')}, 'module ' || module || ' is not imported' AS message FROM modules WHERE NOT EXISTS (SELECT 1 FROM paths WHERE path = module OR starts_with(path, module || '/'))")
 def anl26(spark, sf_dir):
-    return A.unused_modules(_modules(spark, sf_dir).withColumn("indirect", F.lit(False)), _import_paths(spark, sf_dir)).select("message")
+    return A.unused_modules(_modules(spark, sf_dir).withColumn("indirect", F.lit(False)), _import_paths(spark, sf_dir)).select(*_KINDS, "message")
 
 
-@catalog.add("anl27_unused_replaces", f"WITH {_PATHS}, {_MODULES} SELECT 'replacement of ' || module || ' has no effect' AS message FROM modules WHERE NOT EXISTS (SELECT 1 FROM paths WHERE starts_with(path, module))")
+@catalog.add("anl27_unused_replaces", f"WITH {_PATHS}, {_MODULES} SELECT {_kinds('unused-overrides', 'unused', 'warning', 'UO001')}, 'replacement of ' || module || ' has no effect' AS message FROM modules WHERE NOT EXISTS (SELECT 1 FROM paths WHERE starts_with(path, module))")
 def anl27(spark, sf_dir):
-    return A.unused_replacements(_modules(spark, sf_dir).withColumnRenamed("module", "old_path"), _import_paths(spark, sf_dir)).select("message")
+    return A.unused_replacements(_modules(spark, sf_dir).withColumnRenamed("module", "old_path"), _import_paths(spark, sf_dir)).select(*_KINDS, "message")
 
 
-@catalog.add("anl28_unused_files", "SELECT 'file ' || url || ' is not used' AS message FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")
+@catalog.add("anl28_unused_files", f"SELECT {_kinds('unused-files', 'unused', 'warning', 'UF001')}, 'file ' || url || ' is not used' AS message FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")
 def anl28(spark, sf_dir):
-    files = table(spark, sf_dir, "pages", "page_id", "url").select(F.col("page_id").alias("doc_id"), F.col("url").alias("name"))
+    files = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.col("url").alias("file"))
     loaded = table(spark, sf_dir, "documents", "doc_id").join(table(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_semi")
-    return A.unreferenced(files, loaded, "doc_id", "unused-files", "unused", "warning", "UF001", "file").select("message")
+    return A.unused_files(files, files.join(loaded, F.col("page_id") == F.col("doc_id"), "left_semi")).select(*_KINDS, "message")
 
 
 _SUFFIX = "({0} = {1} OR {0} LIKE '%/' || {1})"
 
 
-@catalog.add("anl29_architecture", f"WITH {IMPORTS_SQL}, {RULES_SQL} SELECT src_pkg || ' must not import ' || dst_pkg AS message FROM imports JOIN rules ON {_SUFFIX.format('src_pkg', 'package')} AND {_SUFFIX.format('dst_pkg', 'must_not_use')}")
+@catalog.add("anl29_architecture", f"WITH {IMPORTS_SQL}, {RULES_SQL} SELECT {_kinds('architecture', 'architecture', 'critical', 'AR001')}, src_pkg || ' must not import ' || dst_pkg AS message FROM imports JOIN rules ON {_SUFFIX.format('src_pkg', 'package')} AND {_SUFFIX.format('dst_pkg', 'must_not_use')}")
 def anl29(spark, sf_dir):
-    return A.architecture(imports(spark, sf_dir), rules(spark)).select("message")
+    return A.architecture(imports(spark, sf_dir), rules(spark)).select(*_KINDS, "message")
 
 
-@catalog.add("anl30_boundary_coverage", f"WITH {IMPORTS_SQL}, {RULES_SQL}, p AS (SELECT DISTINCT src_pkg AS pkg FROM imports) SELECT 'no rule names ' || pkg AS message FROM p WHERE NOT EXISTS (SELECT 1 FROM rules WHERE {_SUFFIX.format('pkg', 'package')} OR {_SUFFIX.format('pkg', 'must_not_use')})")
+@catalog.add("anl30_boundary_coverage", f"WITH {IMPORTS_SQL}, {RULES_SQL}, p AS (SELECT DISTINCT src_pkg AS pkg FROM imports) SELECT {_kinds('boundary-coverage', 'architecture', 'info', 'BC001')}, 'no rule names ' || pkg AS message FROM p WHERE NOT EXISTS (SELECT 1 FROM rules WHERE {_SUFFIX.format('pkg', 'package')} OR {_SUFFIX.format('pkg', 'must_not_use')})")
 def anl30(spark, sf_dir):
-    return A.boundary_coverage(imports(spark, sf_dir).select(F.col("src_pkg").alias("pkg")).distinct(), rules(spark)).select("message")
+    return A.boundary_coverage(imports(spark, sf_dir).select(F.col("src_pkg").alias("pkg")).distinct(), rules(spark)).select(*_KINDS, "message")
 
 
 def _bodies(spark, sf_dir):
@@ -247,16 +273,16 @@ def anl33(spark, sf_dir):
     return duplicate_pairs(A.window_blocks(_bodies(spark, sf_dir), 3)).select("file", "line", "first_file", "first_line")
 
 
-@catalog.add("anl34_hotspots", f"WITH {_DECLS}, p AS (SELECT file, sum(cyc) AS total, count(*) AS n, sum(end_line - line + 1) AS lines FROM decls GROUP BY file), q AS (SELECT *, total / lines AS density, total / n AS average FROM p WHERE lines >= 10 AND n >= 3) SELECT file, CASE WHEN density > 2 OR average > 30 THEN 'critical' WHEN density > 1 OR average > 20 THEN 'warning' ELSE 'info' END AS severity, 'total ' || total || ' functions ' || n AS detail FROM q WHERE density > 0.5 OR average > 15")
+@catalog.add("anl34_hotspots", f"WITH {_DECLS}, p AS (SELECT file, sum(cyc) AS total, count(*) AS n, sum(end_line - line + 1) AS lines FROM decls GROUP BY file), q AS (SELECT *, total / lines AS density, total / n AS average FROM p WHERE lines >= 10 AND n >= 3) SELECT {_kinds('hotspots', 'complexity', None, 'HS001')}, file, CASE WHEN density > 2 OR average > 30 THEN 'critical' WHEN density > 1 OR average > 20 THEN 'warning' ELSE 'info' END AS severity, 'total ' || total || ' functions ' || n AS detail FROM q WHERE density > 0.5 OR average > 15")
 def anl34(spark, sf_dir):
     d = declarations(spark, sf_dir)
     files = d.groupBy("file").agg(F.sum(F.col("end_line") - F.col("line") + 1).alias("lines"))
-    return A.hotspots(d.select("file", "cyclomatic"), files).select("file", "severity", "detail")
+    return A.hotspots(d.select("file", "cyclomatic"), files).select(*_KINDS, "file", "detail")
 
 
-@catalog.add("anl35_churn", "WITH n AS (SELECT 'u' || user_id AS file, count(*) AS n FROM events GROUP BY 1) SELECT file, CASE WHEN n > 100 THEN 'critical' WHEN n > 50 THEN 'warning' ELSE 'info' END AS severity, 'changed ' || n || ' times' AS message, (n * 100 // (SELECT max(n) FROM n)) || '%' AS detail FROM n WHERE n >= 50")
+@catalog.add("anl35_churn", f"WITH n AS (SELECT 'u' || user_id AS file, count(*) AS n FROM events GROUP BY 1) SELECT {_kinds('churn', 'code-smell', None, 'CH001')}, file, CASE WHEN n > 100 THEN 'critical' WHEN n > 50 THEN 'warning' ELSE 'info' END AS severity, 'changed ' || n || ' times' AS message, (n * 100 // (SELECT max(n) FROM n)) || '%' AS detail FROM n WHERE n >= 50")
 def anl35(spark, sf_dir):
-    return A.churn(_events(spark, sf_dir).select("file")).select("file", "severity", "message", "detail")
+    return A.churn(_events(spark, sf_dir).select("file")).select(*_KINDS, "file", "message", "detail")
 
 
 @catalog.add("win04_ratio_to_max", "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n, n * 100 // (SELECT max(n) FROM n) AS percent FROM n")
@@ -264,9 +290,9 @@ def win04(spark, sf_dir):
     return P.ratio_to_max(table(spark, sf_dir, "events", "user_id").groupBy("user_id").agg(F.count("*").alias("n")), "n")
 
 
-@catalog.add("anl36_high_fan_out", f"WITH {IMPORTS_SQL} SELECT src_pkg || ' imports ' || count(DISTINCT dst_pkg) || ' packages' AS message FROM imports GROUP BY src_pkg HAVING count(DISTINCT dst_pkg) > 3")
+@catalog.add("anl36_high_fan_out", f"SELECT {_kinds('dependencies', 'dependencies', 'warning', 'DE002')}, 'p' || l_suppkey || ' imports ' || count(DISTINCT p_size) || ' packages' AS message FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey HAVING count(DISTINCT p_size) > 20")
 def anl36(spark, sf_dir):
-    return A.fan_out(imports(spark, sf_dir), 3).select("message")
+    return A.fan_out(module_imports(spark, sf_dir)).select(*_KINDS, "message")
 
 
 _CLASS = "CASE WHEN len(list_filter(p, lambda x: x <> owner_pkg)) > 0 THEN 'confirmed' WHEN len(p) > 0 THEN 'accidental' ELSE 'unused' END AS class"
@@ -280,10 +306,15 @@ def jon08(spark, sf_dir):
 _COVERAGE = "SELECT lang AS pkg, count(*) AS functions, count(l.doc_id) AS tested, round(count(l.doc_id) * 100.0 / count(*), 6) AS percent FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang"
 
 
-@catalog.add("jon09_coverage_gaps", "SELECT doc_id AS fn, lang AS pkg FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@catalog.add("jon09_coverage_gaps", "SELECT lang AS pkg, 'F' || doc_id AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def jon09(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", "doc_id", "lang").select(F.col("doc_id").alias("fn"), F.col("lang").alias("pkg"))
-    return d.join(table(spark, sf_dir, "labels", "doc_id").select(F.col("doc_id").alias("fn")), "fn", "left_anti")
+    from siltstone.operators.relational import coverage_gaps
+
+    name = F.concat(F.lit("F"), F.col("doc_id").cast("string"))
+    d = table(spark, sf_dir, "documents", "doc_id", "lang").select(F.col("lang").alias("pkg"), name.alias("name"), "doc_id")
+    seen = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").join(d.select("doc_id", "pkg"), "doc_id")
+    tests = seen.where("quality = 0").select("pkg", F.concat(F.lit("Test"), name).alias("name"))
+    return coverage_gaps(d, tests, seen.where("toxic = 1").select("pkg", name.alias("name"))).select("pkg", "name")
 
 
 @catalog.add("agg14_coverage_percent", _COVERAGE)

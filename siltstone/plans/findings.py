@@ -310,13 +310,13 @@ def set01(spark, sf_dir):
 @catalog.add("set02_difference", f"{W} SELECT DISTINCT file FROM findings WHERE file NOT IN (SELECT file FROM findings WHERE severity = 'critical')")
 def set02(spark, sf_dir):
     f = findings(spark, sf_dir)
-    return f.select("file").distinct().join(f.where("severity = 'critical'").select("file"), "file", "left_anti")
+    return R.difference(f.select("file"), f.where("severity = 'critical'"), "file")
 
 
 @catalog.add("set03_union_distinct", f"{W} SELECT DISTINCT file FROM findings WHERE analyzer IN ('naming', 'duplication')")
 def set03(spark, sf_dir):
     f = findings(spark, sf_dir)
-    return f.where("analyzer = 'naming'").select("file").union(f.where("analyzer = 'duplication'").select("file")).distinct()
+    return R.union_distinct([f.where("analyzer = 'naming'"), f.where("analyzer = 'duplication'")], "file")
 
 
 @catalog.add("win03_first_last", f"{W} SELECT DISTINCT file, first_value(rule_id) OVER w AS first, last_value(rule_id) OVER (PARTITION BY file ORDER BY line, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM findings WINDOW w AS (PARTITION BY file ORDER BY line, rule_id)")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import relational as R
 from siltstone.schema import Catalog
+from siltstone.sources import golang as go
 from siltstone.sources import text as T
-from siltstone.sources.tables import FINDINGS_SQL, OWNERS, findings, table
+from siltstone.sources.tables import OWNERS, table
 
 catalog = Catalog()
 
@@ -27,9 +29,13 @@ def _modules(spark, sf_dir):
     return _lines(p, "p_partkey", texts)
 
 
-@catalog.add("src02_collect_stats", f"WITH {FINDINGS_SQL} SELECT count(DISTINCT analyzer) AS packages, count(DISTINCT file) AS files, count(*) AS decls FROM findings")
+@catalog.add("src02_collect_stats", "SELECT count(DISTINCT p_brand) AS packages, count(*) AS files, CAST(sum(p_size % 4 + 2) AS BIGINT) AS decls, CAST(sum(p_size % 4 + 1) AS BIGINT) AS functions, count(*) AS types FROM part")
 def src02(spark, sf_dir):
-    return findings(spark, sf_dir).agg(F.countDistinct("analyzer").alias("packages"), F.countDistinct("file").alias("files"), F.count("*").alias("decls"))
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
+    functions = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda k: F.concat(F.lit("func f"), k.cast("string"), F.lit("() {}\n"))), "")
+    src = F.concat(F.lit("package "), F.replace("p_brand", F.lit("#"), F.lit("x")), F.lit("\n\ntype T struct{}\n\n"), functions)
+    found = go.extract(p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".go")).alias("file"), src.alias("src")))
+    return R.project_stats(found.select("package", "file", "n_decls", "n_types", F.size("funcs").alias("n_funcs")))
 
 
 @catalog.add(
@@ -51,15 +57,21 @@ def src06(spark, sf_dir):
     return T.project_info(_modules(spark, sf_dir))
 
 
-@catalog.add("src07_git_log_churn", "SELECT 'u' || user_id AS file, count(*) AS commits FROM events WHERE ts >= '2024-01-15' GROUP BY 1")
+@catalog.add("src07_git_log_churn", "SELECT 'u' || user_id || '.go' AS file, count(*) AS commits FROM events WHERE date_trunc('second', ts) >= '2024-01-15' GROUP BY 1")
 def src07(spark, sf_dir):
-    e = table(spark, sf_dir, "events", "user_id", "ts").where("ts >= '2024-01-15'")
-    return e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file")).agg(F.count("*").alias("commits"))
+    """Each event is a commit of one file; a log for each user."""
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "ts").withColumn("user", F.col("user_id").cast("string"))
+    head = F.concat(F.lit("commit "), F.lower(F.hex("event_id")), F.lit(" "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    lines = F.array(head, F.concat(F.lit("u"), "user", F.lit(".go")), F.lit(""))
+    rows = e.select("user", "event_id", F.posexplode(lines).alias("at", "text")).select(F.col("user").alias("file"), (F.col("event_id") * 3 + F.col("at")).alias("line"), "text")
+    return T.git_log_files(rows, "2024-01-15").groupBy("file").agg(F.count("*").alias("commits"))
 
 
-@catalog.add("src08_git_diff_changed", f"WITH {FINDINGS_SQL} SELECT DISTINCT file FROM findings WHERE rule_id = 'DC001'")
+@catalog.add("src08_git_diff_changed", "SELECT DISTINCT source || '/' || lang AS file FROM documents")
 def src08(spark, sf_dir):
-    return findings(spark, sf_dir).where("rule_id = 'DC001'").select("file").distinct()
+    d = table(spark, sf_dir, "documents", "source", "lang")
+    lines = d.select(F.explode(F.array(F.concat(F.lit(" "), "source", F.lit("/"), "lang", F.lit("\r")), F.lit(""))).alias("text"))
+    return T.git_diff_files(lines)
 
 
 _OWNER_ROWS = " UNION ALL ".join(f"SELECT CAST(n_nationkey AS VARCHAR) AS file, {k} AS rule_idx, '{p}' AS pattern, '{','.join(o)}' AS owners FROM nation" for k, (p, o) in enumerate(OWNERS))
@@ -86,13 +98,18 @@ def src14(spark, sf_dir):
     return d.select("source", T.is_generated_path(path).alias("g")).groupBy(F.col("source").alias("file")).agg(F.bool_or("g").alias("generated"))
 
 
-@catalog.add("src15_platform_imports", "SELECT DISTINCT p_brand AS import_path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+@catalog.add("src15_platform_imports", "SELECT DISTINCT 'a.org/' || p_brand AS import_path FROM part WHERE p_partkey NOT IN (SELECT l_partkey * 2 FROM lineitem) AND p_partkey % 10 <> 0")
 def src15(spark, sf_dir):
-    loaded = table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part", "p_partkey", "p_brand").join(loaded, "p_partkey", "left_anti").select(F.col("p_brand").alias("import_path")).distinct()
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand")
+    name = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 10 == 0, "_test.go").otherwise("_windows.go"))
+    files = p.select(name.alias("file"), F.concat(F.lit('package a\n\nimport (\n\tb "a.org/'), "p_brand", F.lit('"\n)\n')).alias("src"))
+    loaded = table(spark, sf_dir, "lineitem", "l_partkey").select(F.concat((F.col("l_partkey") * 2).cast("string"), F.lit("_windows.go")).alias("file"))
+    return go.unloaded_imports(files, loaded)
 
 
-@catalog.add("src16_test_file_probe", "SELECT doc_id AS file, doc_id IN (SELECT doc_id FROM labels) AS tested FROM documents")
+@catalog.add("src16_test_file_probe", "SELECT lang || '/' || doc_id || '.go' AS file, lang IN (SELECT lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS folder_tested, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS file_tested FROM documents")
 def src16(spark, sf_dir):
-    probe = table(spark, sf_dir, "labels", "doc_id").select(F.col("doc_id").alias("file"), F.lit(True).alias("t")).distinct()
-    return table(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("file")).join(probe, "file", "left").select("file", F.coalesce("t", F.lit(False)).alias("tested"))
+    d = table(spark, sf_dir, "documents", "doc_id", "lang")
+    name = lambda end: F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(end)).alias("file")
+    tests = d.join(table(spark, sf_dir, "labels", "doc_id", "toxic").where("toxic = 1"), "doc_id", "left_semi").select(name("_test.go"))
+    return R.test_probe(d.select(name(".go")).union(tests))

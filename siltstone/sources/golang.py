@@ -294,7 +294,7 @@ def facts(src: str) -> dict:
     """The facts of one file, as the fields of :data:`FACTS`."""
     tokens, comments = lex(src)
     p = Parser(tokens)
-    out: dict = {"package": None, "package_line": 0, "end_line": src.count("\n") + 1, "n_types": 0, "n_decls": 0, "imports": [], "funcs": [], "names": [], "calls": [], "selectors": [], "literals": [], "refs": []}
+    out: dict = {"package": None, "package_line": 0, "end_line": src.count("\n") + 1, "n_types": 0, "n_decls": 0, "imports": [], "funcs": [], "names": [], "calls": [], "selectors": [], "literals": [], "refs": [], "fields": [], "iface_methods": [], "aliases": []}
     decl_lines: list[int] = []
     while p.at < len(tokens):
         word, line = p.peek(), p.line()
@@ -325,25 +325,113 @@ def facts(src: str) -> dict:
             node = Node(word, line)
             p.at += 1
             p.expression(node, {";"})
-            _names(word, node, out)
+            declared = _names(word, node, out, line)
+            if word == "type":
+                _types(node, out)
             for s in _every([node]):
                 _record(s.head, False, out)
-                out["refs"] += [t.text for t in s.head if t.kind == "word" and t.text not in _KEYWORDS]
+                # a name is not referred to by its own declaration
+                out["refs"] += [t.text for t in s.head if t.kind == "word" and t.text not in _KEYWORDS and id(t) not in declared]
         else:
             p.at += 1
+    _injected(comments, out)
     out["comments"] = [{"line": c.line, "text": c.text, "decl_line": next((d for d in decl_lines if c.line <= d <= c.line + 20), 0), "before_package": c.line < out["package_line"]} for c in comments]
     return out
 
 
-def _names(word: str, node: Node, out: dict) -> None:
+def _injected(comments: list[Token], out: dict) -> None:
+    """Marks variables whose comment, above them or their declaration or on their line, says that the linker sets them."""
+    says = {}
+    for c in comments:
+        says[c.line + c.text.count("\n")] = (c.line, "-ldflags" in c.text or "-X " in c.text)
+    for n in out["names"]:
+        found = n["kind"] == "var" and says.get(n["line"], (0, False))[1]
+        for at in (n["line"] - 1, n.pop("decl") - 1):
+            while n["kind"] == "var" and at in says:
+                found |= says[at][1]
+                at = says[at][0] - 1
+        n["injected"] = bool(found)
+
+
+def _specs(node: Node) -> list[list[Token]]:
+    """The tokens of each declared item of a declaration."""
     grouped = bool(node.head) and node.head[0].text == "("
-    depth, first = 0, True
+    out: list[list[Token]] = [[]]
+    depth = 0
     for t in node.head[1:] if grouped else node.head:
-        if first and depth == 0 and t.kind == "word":
-            out["names"].append({"name": t.text, "kind": word, "line": t.line, "exported": t.text[:1].isupper()})
-            out["n_types"] += word == "type"
         depth += (t.text in ("(", "[", "{")) - (t.text in (")", "]", "}"))
-        first = t.text == ";" and depth == 0
+        if t.text == ";" and depth == 0:
+            out.append([])
+        elif depth >= 0:
+            out[-1].append(t)
+    return [x for x in out if x]
+
+
+def _named_types(tokens: list[Token]) -> list[str]:
+    """The types that tokens name, with their package's name where they have one."""
+    out = []
+    for k, t in enumerate(tokens):
+        if t.kind == "word" and t.text[:1].isupper():
+            out.append(f"{tokens[k - 2].text}.{t.text}" if k >= 2 and tokens[k - 1].text == "." else t.text)
+    return out
+
+
+def _names(word: str, node: Node, out: dict, line: int) -> set[int]:
+    """Records what a declaration declares; the tokens that are the names."""
+    declared: set[int] = set()
+    for spec in _specs(node):
+        k = 0
+        while k < len(spec) and spec[k].kind == "word":
+            t = spec[k]
+            declared.add(id(t))
+            rest = next((j for j in range(k, len(spec)) if spec[j].text == "="), len(spec))
+            types = _named_types(spec[k + 1 : rest]) if word == "var" else []
+            out["names"].append({"name": t.text, "kind": word, "line": t.line, "exported": t.text[:1].isupper(), "types": types, "decl": line})
+            out["n_types"] += word == "type"
+            if word == "type" or k + 2 >= len(spec) or spec[k + 1].text != ",":
+                break
+            k += 2
+    return declared
+
+
+def _types(node: Node, out: dict) -> None:
+    """Fields of structs, methods of interfaces, and aliases of plain names."""
+    for spec in _specs(node):
+        owner, texts = spec[0].text, [t.text for t in spec]
+        if len(spec) == 3 and texts[1] == "=" and spec[2].kind == "word":
+            out["aliases"].append({"name": owner, "target": texts[2], "line": spec[0].line})
+        kind = next((w for w in ("struct", "interface") if w in texts[1:]), None)
+        at = texts.index(kind) + 1 if kind else 0
+        if not kind or texts[at : at + 1] != ["{"]:
+            continue
+        depth, item = 0, []
+        for t in spec[at:]:
+            depth += (t.text in ("(", "[", "{")) - (t.text in (")", "]", "}"))
+            if (t.text == ";" and depth == 1) or depth == 0:
+                _member(kind, owner, item, out)
+                item = []
+            elif not (t.text == "{" and depth == 1):
+                item.append(t)
+            if depth == 0:
+                break
+
+
+def _member(kind: str, owner: str, item: list[Token], out: dict) -> None:
+    if kind == "interface":
+        if len(item) > 1 and item[0].kind == "word" and item[1].text == "(":
+            out["iface_methods"].append({"owner": owner, "name": item[0].text, "line": item[0].line})
+        return
+    item = [t for t in item if t.kind != "str"]
+    if not item:
+        return
+    texts = [t.text for t in item]
+    if len(item) == 1 or texts[0] == "*" or (len(item) == 3 and texts[1] == "."):
+        out["fields"].append({"owner": owner, "name": texts[-1], "line": item[0].line, "exported": texts[-1][:1].isupper(), "embedded": True})
+        return
+    for k in range(0, len(item), 2):
+        out["fields"].append({"owner": owner, "name": texts[k], "line": item[k].line, "exported": texts[k][:1].isupper(), "embedded": False})
+        if k + 1 >= len(item) or texts[k + 1] != ",":
+            break
 
 
 def _record(tokens: list[Token], condition: bool, out: dict) -> None:
@@ -389,6 +477,7 @@ def _function(p: Parser, out: dict) -> None:
             "cyclomatic": 1 + cyclomatic(body), "cognitive": cognitive(body), "stmt_count": len(body), "refs": sorted(set(called)),
             "tokens": _flat(body), "windows": ["|".join(_flat([s])) for s in body], "stmt_lines": [s.line for s in body], "stmt_ends": [s.end for s in body],
             "first_qualifier": first[0] if first else None, "first_call": first[1] if first else None, "wraps": single,
+            "signature": _named_types(signature.head), "makes_command": [t.text for t in signature.head][-4:] == ["*", "cobra", ".", "Command"],
         }
     )
 
@@ -421,8 +510,9 @@ _list = lambda **fields: pa.list_(pa.struct(list(fields.items())))
 FACTS = pa.schema(
     [
         ("file", _S), ("package", _S), ("package_line", _I), ("end_line", _I), ("n_types", _I), ("n_decls", _I), ("error", _S), ("refs", pa.list_(_S)),
-        ("imports", _list(path=_S, alias=_S, line=_I)), ("names", _list(name=_S, kind=_S, line=_I, exported=_B)),
-        ("funcs", _list(name=_S, recv=_S, recv_name=_S, exported=_B, line=_I, end_line=_I, has_body=_B, cyclomatic=_I, cognitive=_I, stmt_count=_I, refs=pa.list_(_S), tokens=pa.list_(_S), windows=pa.list_(_S), stmt_lines=pa.list_(_I), stmt_ends=pa.list_(_I), first_qualifier=_S, first_call=_S, wraps=_S)),
+        ("imports", _list(path=_S, alias=_S, line=_I)), ("names", _list(name=_S, kind=_S, line=_I, exported=_B, types=pa.list_(_S), injected=_B)),
+        ("fields", _list(owner=_S, name=_S, line=_I, exported=_B, embedded=_B)), ("iface_methods", _list(owner=_S, name=_S, line=_I)), ("aliases", _list(name=_S, target=_S, line=_I)),
+        ("funcs", _list(name=_S, recv=_S, recv_name=_S, exported=_B, line=_I, end_line=_I, has_body=_B, cyclomatic=_I, cognitive=_I, stmt_count=_I, refs=pa.list_(_S), tokens=pa.list_(_S), windows=pa.list_(_S), stmt_lines=pa.list_(_I), stmt_ends=pa.list_(_I), first_qualifier=_S, first_call=_S, wraps=_S, signature=pa.list_(_S), makes_command=_B)),
         ("calls", _list(line=_I, qualifier=_S, selector=_S, args=_list(kind=_S, text=_S), in_condition=_B)), ("selectors", _list(line=_I, x=_S, sel=_S)),
         ("literals", _list(line=_I, text=_S)), ("comments", _list(line=_I, text=_S, decl_line=_I, before_package=_B)),
     ]
@@ -457,3 +547,17 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
 def exploded(found: DataFrame, what: str) -> DataFrame:
     """One row for each item of a list of facts, with its file and package."""
     return found.select("file", "package", F.explode(what).alias("x")).select("file", "package", "x.*")
+
+
+def reexports(found: DataFrame) -> DataFrame:
+    """(src_pkg, dst_pkg) of type aliases that name an import, by its alias or the last part of its path; ``found`` has folder."""
+    own = exploded(found, "aliases").select("file", F.col("target").alias("x")).join(found.select("file", F.col("folder").alias("src_pkg")), "file")
+    named = F.when(F.col("alias") == "", F.regexp_extract("path", "([^/]*)$", 1)).otherwise(F.col("alias"))
+    known = exploded(found, "imports").select("file", named.alias("x"), F.col("path").alias("dst_pkg"))
+    return own.join(known, ["file", "x"]).select("src_pkg", "dst_pkg").distinct()
+
+
+def unloaded_imports(files: DataFrame, loaded: DataFrame) -> DataFrame:
+    """(import_path): what the source files (file, src) on disk that were not loaded (file) import; tests are no such files."""
+    left = files.where(~F.col("file").endswith("_test.go")).join(loaded.select("file").distinct(), "file", "left_anti")
+    return exploded(extract(left), "imports").select(F.col("path").alias("import_path")).distinct()

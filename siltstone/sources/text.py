@@ -87,6 +87,25 @@ def project_info(lines: DataFrame) -> DataFrame:
     return one.join(n, "file", "left").na.fill(0, ["requirements"])
 
 
+def git_log_files(lines: DataFrame, since: str | None = None) -> DataFrame:
+    """(commit, ts, file) of the output of ``git log --name-only --date=iso-strict --pretty=format:'commit %H %ad'`` as (file, line, text) rows.
+
+    The commit of a file's line is the last commit line before it in the same
+    output; ``since`` leaves out earlier commits.
+    """
+    head = r"^commit ([0-9a-f]+) (\S+)$"
+    along = W.partitionBy("file").orderBy("line")
+    found = F.when(F.col("text").rlike(head), F.struct(F.regexp_extract("text", head, 1).alias("commit"), F.regexp_extract("text", head, 2).alias("ts")))
+    rows = lines.withColumn("c", F.last(found, True).over(along)).where(~F.col("text").rlike(head) & (F.col("text") != "") & F.col("c").isNotNull())
+    rows = rows.select("c.commit", F.to_timestamp("c.ts").alias("ts"), F.col("text").alias("file"))
+    return rows if since is None else rows.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+
+
+def git_diff_files(lines: DataFrame) -> DataFrame:
+    """(file): the files that the output of ``git diff --name-only`` names, as rows with text."""
+    return lines.select(stripped(F.col("text")).alias("file")).where("file <> ''").distinct()
+
+
 def ownership(lines: DataFrame) -> DataFrame:
     """(file, rule_idx, pattern, owners, is_negation) of ownership files."""
     t = stripped(F.col("text"))
