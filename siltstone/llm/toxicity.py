@@ -6,7 +6,9 @@ text that the channel may have touched become lattices, with an edge for each
 reading of a glyph; Viterbi decoding under a character trigram model, mixed
 from the whole corpus and the toxic words, picks the best path.  A stretch in
 which no glyph has a second reading has a single path and needs no decoding,
-so most text is passed over by one regular expression.
+so most text is passed over.  Doubled letters, and separators within words, are
+second readings too; where no reading of a word could begin as the lexicon's
+words do, its lattice is not decoded, as that could not change a score.
 
 Restored texts are scored by a Poisson likelihood ratio.  Words and word
 beginnings that are frequent in documents labelled toxic and rare in others
@@ -39,12 +41,16 @@ GLYPHS = {
 _LETTER = r"[^\W\d_]"
 _ANY = rf"(?:{_LETTER}|[0-9@$!|+(])"
 _SEP = r"[ .\-_*~]"
-#: Single glyphs with separators between: a word spelled out.
-SPELLED = re.compile(rf"{_ANY}({_SEP}{{1,2}}){_ANY}(?:\1{_ANY})+(?!{_ANY})")
-_RUN = re.compile(rf"{_ANY}+")
+#: Single glyphs with separators, of any number and kind, between: a word spelled out.
+SPELLED = re.compile(rf"{_ANY}(?:{_SEP}+{_ANY}){{2,}}(?!{_ANY})")
+_SEPARATORS = re.compile(rf"{_SEP}+")
+_GOES_ON = re.compile(rf"{_SEP}*{_ANY}?$")
+#: A run of glyphs, or several with separators that are no space between: a word in pieces.
+_RUN = re.compile(rf"{_ANY}+(?:[.\-_*~]+{_ANY}+)*")
+_INNER = re.compile(r"[.\-_*~]+")
 #: Marks after a word are punctuation, and so are the same mark thrice or more.
 _MARKS = re.compile(r"(?:[!|+(]|([$@])\1\1+)+$")
-_THRICE = re.compile(rf"({_LETTER})\1\1")
+_TWICE = re.compile(rf"({_LETTER})\1")
 _CYRILLIC = re.compile(r"[а-яѕі]")
 WORD = re.compile(rf"{_LETTER}+")
 #: The readings of stretches of more characters are not remembered.
@@ -53,12 +59,15 @@ LONGEST = 64
 _WINDOW = 256
 _LOG_SUBSTITUTE, _LOG_KEEP, _LOG_REPEAT, _LOG_DOUBLE = math.log(0.2), math.log(0.001), math.log(0.3), math.log(0.1)
 _LOG_SPACE = math.log(0.05)
+#: Of a separator within a word that the channel put there.
+_LOG_PIECES = math.log(0.1)
 BOUNDS = (3.0, 4.0, 5.0, 6.0)
 _SYMBOLS = 32
 _CODE = {c: k + 1 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 
 
 def _code(c: str) -> int:
+    """A letter's number, 27 for letters of other alphabets, 0 for a boundary."""
     return _CODE.get(c) or (27 if c.isalpha() else 0)
 
 
@@ -125,8 +134,15 @@ def readings(text: str) -> list[list[tuple[str, float]]]:
 
     Separators between single glyphs drop out, or, at a cost, are a space.  A
     run of one letter of three or more stands for one or two of it; a run of two
-    for itself, or, at a cost, one.
+    for itself, or, at a cost, one.  Separators between longer pieces stay, or,
+    at a cost, drop out.
     """
+    pieces = _INNER.split(text)
+    if " " not in text and len(pieces) > 1 and max(map(len, pieces)) > 1:
+        out = readings(pieces[0])
+        for sep, piece in zip(_INNER.findall(text), pieces[1:]):
+            out += [[(sep, 0.0), ("", _LOG_PIECES)], *readings(piece)]
+        return out
     if re.search(_SEP, text):
         glyphs = re.sub(_SEP, "", text)
         return [x for k, c in enumerate(glyphs) for x in ([[("", 0.0), (" ", _LOG_SPACE)]] if k else []) + readings(c)]
@@ -214,8 +230,29 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def triggers(data: np.ndarray) -> np.ndarray:
-    """Positions in lower-cased bytes where the channel may have been at work; every such stretch has one."""
+def squeezed_heads(lexicon: Iterable[str]) -> np.ndarray:
+    """By three bytes, whether a feature of the lexicon begins with them once repeated letters are dropped."""
+    out = np.zeros(1 << 24, bool)
+    for f in lexicon:
+        w = f.removesuffix("$").encode()
+        w = bytes(c for k, c in enumerate(w) if k == 0 or c != w[k - 1])
+        if len(w) > 2:
+            out[_first_three(w)] = True
+        else:
+            # what follows is not known
+            at = _first_three(w)
+            out[at : at + (1 << (8 * (3 - len(w))))] = True
+    return out
+
+
+def triggers(data: np.ndarray, heads: np.ndarray | None = None) -> np.ndarray:
+    """Positions in lower-cased bytes where the channel may have been at work; every such stretch has one.
+
+    With ``heads``, words whose only sign is a doubled letter or a separator
+    within are passed over where they, with repeated letters and separators
+    dropped, do not begin as any feature of the lexicon does: no reading of
+    theirs could count.
+    """
     n = len(data)
     if n < 3:
         return np.zeros(0, np.int64)
@@ -228,21 +265,55 @@ def triggers(data: np.ndarray) -> np.ndarray:
     mark = np.zeros(n + 8, bool)
     mark[1 : n + 1] = (data == ord("!")) | (data == ord("|")) | (data == ord("+")) | (data == ord("("))
     hit[:-1] |= glyph[:-1] & letter[1:]
-    after = letter[:-3] & glyph[1:-2] & ~mark[1:-2]
-    after &= ~(glyph[2:-1] & glyph[3:])
-    hit[1:-2] |= after
+    hit[1:-2] |= letter[:-3] & glyph[1:-2] & ~mark[1:-2]
+    hit[:-1] |= mark[:-1] & glyph[1:] & ~mark[1:]
     byte = np.zeros(n + 8, np.uint8)
     byte[1 : n + 1] = data
-    same = (byte[:-2] == byte[1:-1]) & (byte[1:-1] == byte[2:]) & letter[:-2] & (byte[:-2] < 0x80)
-    hit[:-2] |= same
-    wide = (byte[:-5] == byte[2:-3]) & (byte[2:-3] == byte[4:-1]) & (byte[1:-4] == byte[3:-2]) & (byte[3:-2] == byte[5:]) & (byte[:-5] >= 0xC3)
-    hit[:-5] |= wide
-    cyrillic = ((byte == 0xD0) | (byte == 0xD1))
+    wide = (byte[:-4] == byte[2:-2]) & (byte[1:-3] == byte[3:-1]) & (byte[:-4] >= 0xC3)
+    hit[:-4] |= wide
+    # doubled letters, and separators within words
+    doubled = np.zeros(n + 8, bool)
+    doubled[1:] = (byte[1:] == byte[:-1]) & letter[1:] & (byte[1:] < 0x80)
+    space = byte == 32
+    inner = sep & ~space
+    # a run of separators with a letter or glyph at either end
+    before, after = np.zeros(n + 8, bool), np.zeros(n + 8, bool)
+    at = np.flatnonzero(inner)
+    if len(at):
+        begin = np.concatenate([[True], at[1:] != at[:-1] + 1])
+        first = at[begin]
+        last = np.concatenate([at[:-1][begin[1:]], at[-1:]])
+        good = either[first - 1] & either[last + 1]
+        before[first[good]] = after[last[good]] = True
+        hit[first[good & (glyph[first - 1] != glyph[last + 1])]] = True
+    inside = np.zeros(n + 8, np.int8)
+    inside[before] += 1
+    shifted = np.zeros(n + 8, np.int8)
+    shifted[1:][after[:-1]] = 1
+    inside = np.cumsum(inside - shifted) > 0
+    soft = doubled | before
+    if heads is None:
+        hit |= soft
+    elif soft.any():
+        # heads of the pieces of words, without repeated letters and separators within
+        kept = np.flatnonzero(~doubled & ~inside)
+        own = byte[kept]
+        code = np.zeros(len(kept) + 2, np.int32)
+        code[:-2] = np.where(letter[kept], own, 0)
+        starts = np.flatnonzero(either[kept] & np.concatenate([[True], ~either[kept][:-1] | (np.diff(kept) > 1)]))
+        a, b, c = code[starts], code[starts + 1], code[starts + 2]
+        b = np.where(a > 0, b, 0)
+        c = np.where(b > 0, c, 0)
+        good = heads[a << 16 | b << 8 | c]
+        # the word around a piece that could count
+        word = np.cumsum(np.concatenate([[0], ((either | inside)[1:] & ~(either | inside)[:-1]).astype(np.int64)]))
+        wanted = np.zeros(int(word[-1]) + 1, bool)
+        wanted[word[kept[starts[good]]]] = True
+        hit |= soft & wanted[word]
+    cyrillic = (byte == 0xD0) | (byte == 0xD1)
     latin = letter & (byte < 0x80)
     hit[1:-2] |= cyrillic[1:-2] & (latin[:-3] | latin[3:])
-    # single glyphs, one or two separators between; letters of two bytes count by their last one
-    last = either.copy()
-    last[:-1] &= ~((byte[:-1] >= 0xC0) & letter[:-1])
+    # single glyphs, separators between; letters of two bytes count by their last one
     first = either & ~((byte & 0xC0) == 0x80)
     begin = np.zeros(n + 8, bool)
     begin[1:] = first[1:] & ~either[:-1]
@@ -251,14 +322,21 @@ def triggers(data: np.ndarray) -> np.ndarray:
     alone[:-2] &= np.where(byte[:-2] >= 0xC0, ~either[2:], ~either[1:-1])
     at = np.flatnonzero(alone)
     if len(at) > 2:
-        width = np.where(byte[at] >= 0xC0, 2, 1)
-        gap = at[1:] - at[:-1] - width[:-1]
-        close = ((gap == 1) | (gap == 2)) & sep[at[:-1] + width[:-1]] & sep[at[1:] - 1]
+        end = at + np.where(byte[at] >= 0xC0, 2, 1)
+        seps = np.concatenate([[0], np.cumsum(sep)])
+        close = (at[1:] > end[:-1]) & (seps[at[1:]] - seps[end[:-1]] == at[1:] - end[:-1])
         three = close[:-1] & close[1:]
         hit[at[:-2][three]] = True
     return np.flatnonzero(hit[1 : n + 1])
 
 
+def _is_spelled(stretch: str) -> bool:
+    """Whether single glyphs are a word spelled out: with one separator throughout, or, mixed ones, enough of them (``a 3.5`` is no such word)."""
+    between = set(_SEPARATORS.findall(stretch))
+    glyphs = _SEPARATORS.sub("", stretch)
+    return len(between) == 1 or (len(glyphs) > 4 and sum(c.isalpha() for c in glyphs) > 2)
+
+
 class Restorer:
     """Decodes the suspect stretches of texts; the readings of a stretch are remembered."""
 
@@ -291,7 +369,7 @@ class Restorer:
         marks = _MARKS.search(run)
         body = run[: marks.start()] if marks else run
         letters = sum(c.isalpha() for c in body)
-        if letters and (letters < len(body) or _THRICE.search(body) or (_CYRILLIC.search(body) and re.search("[a-z]", body))):
+        if letters and (letters < len(body) or (len(body) > 3 and _TWICE.search(body)) or (_CYRILLIC.search(body) and re.search("[a-z]", body))):
             return self.decode(body) + run[len(body) :]
         return run
 
@@ -307,16 +385,16 @@ class Restorer:
             begin = max(begin, until)
             # a word spelled out begins at its first glyph
             spelled = None
-            if end - t <= 3 or data[t + 1 : t + 2] in (b".", b"-", b"_", b"*", b"~") or data[t] >= 0xC0:
+            if t == begin or data[t - 1 : t] in (b".", b"-", b"_", b"*", b"~"):
                 size = _WINDOW
                 while True:
                     window = data[t : t + size].decode("utf-8", "ignore")
                     spelled = SPELLED.match(window)
-                    # two separators, a glyph and what follows it are all that decides whether the word goes on
-                    if t + size >= len(data) or not spelled or spelled.end() + 4 <= len(window):
+                    # where it ends in separators and one more glyph at most, the word may go on
+                    if t + size >= len(data) or not _GOES_ON.search(window, spelled.end() if spelled else 0):
                         break
                     size *= 2
-            if spelled:
+            if spelled and _is_spelled(spelled.group()):
                 stretch = spelled.group()
                 begin, end = t, t + len(stretch.encode())
                 new = self.phrase(stretch)
@@ -434,18 +512,20 @@ def _best_threshold(scores: list[tuple[float, int]], least: float) -> float:
 
 def fit(
     docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_docs: int = 3, min_ratio: float = 20.0, least: float = 4.0,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic",
 ) -> Classifier:
     """Fits the lexicon, rates and threshold on at most ``sample`` labelled rows.
 
-    The sample is the labelled ids of the least hashes.  Labels that are null
-    or contradict each other are left out, as are labelled ids without a text.
-    Without toxic labels the lexicon is empty and nothing is toxic.
+    The sample is the labelled ids of the least hashes.  Labels other than 0
+    and 1, null ones, and those that contradict each other are left out, as are
+    labelled ids without a text.  Without toxic labels the lexicon is empty and
+    nothing is toxic.
     """
+    known = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     ids = (
-        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min(F.col("toxic").cast("int")).alias("toxic"), F.max(F.col("toxic").cast("int")).alias("other"))
+        known.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+        .groupBy("doc_id")
+        .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
         .where("toxic = other")
         .select("doc_id", "toxic", F.xxhash64("doc_id").alias("order"))
         .orderBy("order", "doc_id")
@@ -485,15 +565,18 @@ def _judge(classifier: Classifier, model: np.ndarray):
         own = Classifier(classifier.lexicon, classifier.log_ratio, classifier.rate_gap, classifier.threshold)
         heads = np.zeros(1 << 24, bool)
         heads[[_first_three(f.removesuffix("$").encode()) for f in own.lexicon]] = True
+        squeezed = squeezed_heads(own.lexicon)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield _judged(part, restore, own, heads)
+                yield _judged(part, restore, own, heads, squeezed)
 
     return run
 
 
-def _judged(part: pa.RecordBatch, restore: Restorer, own: Classifier, heads: np.ndarray) -> pa.RecordBatch:
-    data, offsets = raw(pc.utf8_lower(as_strings(part.column("text"))))
+def _judged(part: pa.RecordBatch, restore: Restorer, own: Classifier, heads: np.ndarray, squeezed: np.ndarray) -> pa.RecordBatch:
+    # a line break ends each text, so that no stretch goes from one to the next
+    empty, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+    data, offsets = raw(pc.binary_join_element_wise(pc.utf8_lower(as_strings(part.column("text"))), empty, line))
     m = part.num_rows
     words, k = np.zeros(m, np.int64), np.zeros((m, len(BOUNDS)), np.int64)
     changed = np.zeros(m, np.int64)
@@ -518,7 +601,7 @@ def _judged(part: pa.RecordBatch, restore: Restorer, own: Classifier, heads: np.
             c = own.strength_class(whole[a:b].decode("utf-8", "ignore"))
             if c >= 0:
                 k[r, c] += 1
-        at = triggers(data)
+        at = triggers(data, squeezed)
         cut = np.searchsorted(at, offsets)
         for r in np.flatnonzero(np.diff(cut)).tolist():
             base = int(offsets[r])
@@ -540,9 +623,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: s
 
     ``n_restored`` counts the stretches that decoding changed, ``n_hits`` the
     restored text's words in the lexicon; ``toxic`` is score >= the fitted
-    threshold.  Null and empty texts score 0 and are not toxic.  Repeated rows
-    and null ids are scored as any other; other columns are ignored; an empty
-    table gives an empty result.  ``labels`` has doc_id and toxic (0 or 1).
+    threshold.  Null and empty texts score 0 and are not toxic; very long texts
+    and stretches are decoded whole.  Repeated rows and null ids are scored as
+    any other; other columns are ignored; an empty table gives an empty
+    result.  ``labels`` has doc_id and toxic (0 or 1), as :func:`fit` says.
     """
     classifier = fit(docs, labels, sample, id_col=id_col, text_col=text_col)
     words = sorted(f[:-1] for f in classifier.lexicon if f.endswith("$"))
@@ -554,7 +638,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: s
 def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`toxicity` does not call toxic, all columns kept.
 
-    Every row is judged by its own text, so repeated ids do not matter.
+    Every row is judged by its own text, so repeated and null ids do not
+    matter; rows with a null or empty text are kept; an empty table gives an
+    empty result.
     """
     classifier = fit(docs, labels, sample, id_col=id_col, text_col=text_col)
     words = sorted(f[:-1] for f in classifier.lexicon if f.endswith("$"))

@@ -256,8 +256,7 @@ def got_classes(df):
     return Counter((r.doc_id, r.class_id, r.n_links) for r in df.collect())
 
 
-@pytest.mark.parametrize("threshold", [0.55, 0.8])
-@pytest.mark.parametrize("block", [ngram_join.BLOCK, 3])
+@pytest.mark.parametrize(("threshold", "block"), [(0.55, ngram_join.BLOCK), (0.55, 3), (0.8, ngram_join.BLOCK)])
 def test_jaccard_join_against_all_pairs(spark, threshold, block):
     rng = random.Random(5)
     rows = copies(rng, [2, 3, 5, 9, 15, 16, 17, 31, 33, 60, 64, 100, 127, 129, 200, 250, 400, 520, 900, 1500, 3000] * 2, 0.06)
@@ -294,12 +293,13 @@ def test_many_texts_that_share_a_passage(spark):
 
 
 def test_components_of_a_path_and_a_star(spark):
-    edges = [(k, k + 1) for k in range(100)] + [(1000, 1001 + k) for k in range(50)] + [(2000, 2000)]
+    edges = [(k, k + 1) for k in range(30)] + [(1000, 1001 + k) for k in range(50)] + [(2000, 2000)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.node: r.root for r in ngram_join.connected(df).collect()}
-    assert got == {**{k: 0 for k in range(1, 101)}, **{1001 + k: 1000 for k in range(50)}}
+    for local in (1 << 20, 0):
+        got = {r.node: r.root for r in ngram_join.connected(df, local_edges=local).collect()}
+        assert got == {**{k: 0 for k in range(1, 31)}, **{1001 + k: 1000 for k in range(50)}}
     with pytest.raises(RuntimeError):
-        ngram_join.connected(df, 1)
+        ngram_join.connected(df, 1, 0)
 
 
 def test_deduplicate_judges_rows(spark):
@@ -377,6 +377,58 @@ def test_restores_long_stretches(spark):
         assert got == "the villain"
 
 
+def test_restores_pieces_and_doubles(spark):
+    texts = ["you are a rotten villain and the people who stole a golden crown were well-known and angry"] * 20
+    counts = toxicity.character_counts(docs_of(spark, list(enumerate(texts))))
+    restore = toxicity.Restorer(toxicity.log_model(counts, ["villain", "rotten", "moron"]))
+    for seen, clean in [("mmoorroonn", "moron"), ("mmoron", "moron"), ("mo-ron", "moron"), ("vil.lain", "villain"), ("v-i.l l_a i*n", "villain"), ("m   o   r   o   n", "moron"), ("r0770n", None), ("m0000ron", "moron"), ("m. .o. .r. .o. .n", "moron")]:
+        got, changed = restore(f"the {seen} stole it")
+        if clean:
+            assert got == f"the {clean} stole it" and changed == 1, seen
+    for plain in ("a well-known golden crown", "the people were angry and the villain"):
+        assert restore(plain)[0] == plain, plain
+
+
+def test_triggers_miss_no_reading(spark):
+    """What is not decoded could not have changed: every token against a decoder that tries every stretch."""
+    rng = random.Random(11)
+    texts = ["the rotten villain stole a golden crown"] * 20
+    model = toxicity.log_model(toxicity.character_counts(docs_of(spark, list(enumerate(texts)))), ["villain", "rotten"])
+    restore = toxicity.Restorer(model)
+    alphabet = "aabbeeillnnorttv0134@!|+. -_*~éп"
+    for _ in range(3000):
+        token = "".join(rng.choice(alphabet.replace(" ", "")) for _ in range(rng.randrange(1, 9)))
+        text = f"zq {token} zq"
+        whole = toxicity._RUN.sub(restore._run, token)
+        spelled = toxicity.SPELLED.search(token)
+        if not spelled:
+            assert restore(text)[0] == f"zq {whole} zq", token
+
+
+def test_prefilter_changes_no_score(spark):
+    rng = random.Random(12)
+    lexicon = {"villain$": 5.0, "vil": 4.0, "rotten$": 5.0, "moo": 4.0, "llama$": 3.5}
+    own = toxicity.Classifier(lexicon, [1.0] * 4, 0.0, 1.0)
+    model = toxicity.log_model(np.ones((32, 32, 32)), ["villain", "rotten", "moo", "llama"])
+    pieces = ["villain", "vviillain", "vil-lain", "rot.ten", "rrotten", "mmooo", "llama", "well-known", "hello", "a.b", "xx-vil_lain", "x", "1", "moon", "v", "i", "book-keeper"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(0, 12))) for _ in range(400)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    heads = np.zeros(1 << 24, bool)
+    heads[[toxicity._first_three(f.removesuffix("$").encode()) for f in lexicon]] = True
+    got = toxicity._judged(part, toxicity.Restorer(model), own, heads, toxicity.squeezed_heads(lexicon)).column("n_hits").to_pylist()
+    restore = toxicity.Restorer(model)
+    assert got == [sum(own.counts(restore(t)[0])[1]) for t in texts]
+    assert sum(got) > 300
+
+
+def test_labels_of_other_values(spark):
+    rows, labels = toxic_corpus(random.Random(6), 120)
+    odd = [(i, t if i % 5 else (2, -1, None)[i % 3]) for i, t in labels] + [(1, 1 - labels[1][1]), (None, 1)]
+    df = spark.createDataFrame(odd, "id long, bad int")
+    got = toxicity.fit(docs_of(spark, rows), df, label_id_col="id", label_col="bad")
+    assert got.lexicon
+
+
 def brute_best(lattice, model):
     def score(path):
         codes = [0, 0, *(toxicity._code(c) for c, _ in path if c), 0]
