@@ -44,7 +44,9 @@ _SEP = r"[ .\-_*~]"
 #: Single glyphs with separators, of any number and kind, between: a word spelled out.
 SPELLED = re.compile(rf"{_ANY}(?:{_SEP}+{_ANY}){{2,}}(?!{_ANY})")
 _SEPARATORS = re.compile(rf"{_SEP}+")
-_GOES_ON = re.compile(rf"{_SEP}*{_ANY}?$")
+#: What is left of a window after a word spelled out, or all of it, where the word may go on beyond.
+_GOES_ON = re.compile(rf"{_SEP}*{_ANY}?")
+_OPEN = re.compile(rf"{_ANY}(?:{_SEP}+{_ANY})?{_SEP}+")
 #: A run of glyphs, or several with separators that are no space between: a word in pieces.
 _RUN = re.compile(rf"{_ANY}+(?:[.\-_*~]+{_ANY}+)*")
 _INNER = re.compile(r"[.\-_*~]+")
@@ -391,7 +393,7 @@ class Restorer:
                     window = data[t : t + size].decode("utf-8", "ignore")
                     spelled = SPELLED.match(window)
                     # where it ends in separators and one more glyph at most, the word may go on
-                    if t + size >= len(data) or not _GOES_ON.search(window, spelled.end() if spelled else 0):
+                    if t + size >= len(data) or not (_GOES_ON.fullmatch(window, spelled.end()) if spelled else _OPEN.fullmatch(window)):
                         break
                     size *= 2
             if spelled and _is_spelled(spelled.group()):
