@@ -563,7 +563,10 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, n: int = 3, id_co
     own = stored(members.where("node <> 0").join(_classes(members, found), "node"), "ngram-classes")
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
     names = [F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")]
-    gone = own.where(~first).select(*names).distinct()
+    gone = stored(own.where(~first).select(*names).distinct(), "ngram-gone")
+    # as a hash table, a row takes some 48 bytes; beyond the bound, texts are shuffled
+    if gone.count() * 48 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     keyed = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_hash": F.xxhash64(F.col(text_col))})
     same = F.col("__row_id").eqNullSafe(F.col("__gone_id")) & (F.col("__row_hash") == F.col("__gone_hash"))
     kept = keyed.join(gone, same, "left_anti")
