@@ -8,11 +8,11 @@ rebalancing is a small edit and everything else stays where it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.llm.common import stored
+from siltstone.llm.common import shared_dir, stored
 
 SLOTS = 4096
 
@@ -76,15 +76,66 @@ def assignments(docs: DataFrame, slot_map: DataFrame, slots: int = SLOTS, id_col
     return own.join(F.broadcast(table), "slot").select("doc_id", "slot", "shard", "moved")
 
 
-def shard(docs: DataFrame, shards: int = 64, more: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions whose files are complete in the folder of a map."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """(version, slot, shard, shards) of all complete versions of the map kept at ``path``; an error where there is none."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no slot map at {path}")
+    return spark.read.schema("version int, slot int, shard int, shards int").parquet(*(f"{path}/v={v}" for v in found))
+
+
+def create_map(loads: DataFrame, path: str, shards: int) -> DataFrame:
+    """Version 1 of a map by the loads of ``slot_bytes``, kept at ``path``; an error where a map is there already."""
+    spark = loads.sparkSession
+    if _versions(spark, path):
+        raise FileExistsError(f"a slot map is at {path} already: use grow_map")
+    initial_map(loads, shards).withColumn("shards", F.lit(shards)).coalesce(1).write.mode("overwrite").parquet(f"{path}/v=1")
+    return read_map(spark, path)
+
+
+def grow_map(loads: DataFrame, path: str, more: int) -> DataFrame:
+    """The map kept at ``path`` with one version more, which only lists the slots that move to ``more`` new shards.
+
+    The versions before are read, never made anew: today's loads only decide
+    what moves.  A version's folder counts once its writing has ended, so a
+    run that was lost half-way is written over by the next.  One writer at a
+    time is assumed.
+    """
+    if more < 1:
+        raise ValueError("at least one new shard")
+    spark = loads.sparkSession
+    kept = read_map(spark, path)
+    last, shards = kept.agg(F.max("version"), F.max("shards")).first()
+    edit = rebalanced(kept, loads, shards, more).where(F.col("version") > last).withColumn("shards", F.lit(shards + more))
+    edit.coalesce(1).write.mode("overwrite").parquet(f"{path}/v={last + 1}")
+    return read_map(spark, path)
+
+
+def shard(
+    docs: DataFrame, shards: int = 64, more: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None
+) -> DataFrame:
     """(doc_id, slot, shard, moved) of every row, after growing from ``shards`` to ``shards + more`` shards.
 
-    Null ids are in slot 0 and null texts weigh nothing; rows of one id are in
-    one slot; other columns are ignored; an empty table gives an empty result.
+    The map is made at ``map_path`` (a new shared folder if none is given),
+    where ``grow_map`` edits it later and ``read_map`` reads it for
+    ``assignments``.  Null ids are in slot 0 and null texts weigh nothing; rows
+    of one id are in one slot; other columns are ignored; an empty table gives
+    an empty result.
     """
+    path = map_path or shared_dir(docs.sparkSession, "slot-map")
     loads = stored(slot_bytes(docs, slots, id_col, text_col).coalesce(1), "slot-bytes")
-    slot_map = stored(rebalanced(initial_map(loads, shards), loads, shards, more).coalesce(1), "slot-map")
-    return assignments(docs, slot_map, slots, id_col)
+    create_map(loads, path, shards)
+    return assignments(docs, grow_map(loads, path, more), slots, id_col)
 
 
 SHARD_SQL = """

@@ -49,7 +49,10 @@ def _digest(x: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(x.cast("binary")))
 
 
-def derivatives(pages: DataFrame, date: str = DATE, headers_col: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def derivatives(
+    pages: DataFrame, date: str = DATE, headers_col: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+    record_id_col: str | None = None, date_col: str | None = None,
+) -> DataFrame:
     """Two rows for each response: a metadata and a conversion record that refer to it.
 
     ``source_headers`` has the response's HTTP headers (made from the body
@@ -57,13 +60,18 @@ def derivatives(pages: DataFrame, date: str = DATE, headers_col: str | None = No
     also among the metadata's fields with title and links.  A null body is
     empty, a null URL makes a null target; repeated rows give repeated
     records, with the same identifiers; other columns are ignored; an empty
-    table gives an empty result.
+    table gives an empty result.  ``record_id_col`` and ``date_col`` name the
+    responses' own WARC identifiers and dates, which the records then refer to
+    and carry; where there is none, an identifier is made from URL, id and
+    digest, and the date is ``date``.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     made = F.concat(F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"))
     own = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"),
         (made if headers_col is None else F.coalesce(F.col(headers_col), made)).alias("headers"), _digest(html).alias("digest"),
+        (F.lit(None) if record_id_col is None else F.col(record_id_col)).cast("string").alias("response_id"),
+        (F.lit(date) if date_col is None else F.coalesce(F.col(date_col), F.lit(date))).alias("warc_date"),
     )
     key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -77,11 +85,12 @@ def derivatives(pages: DataFrame, date: str = DATE, headers_col: str | None = No
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("html")).alias("block")),
     )
-    rows = own.select("page_id", "url", "headers", "digest", F.explode(blocks).alias("b"))
-    identity = [url, key, F.col("digest")]
+    rows = own.select("page_id", "url", "headers", "digest", "response_id", "warc_date", F.explode(blocks).alias("b"))
+    # the identifier of a response is part of that of its records: captures of one body at two times differ
+    identity = [url, key, F.col("digest"), *([] if record_id_col is None else [F.col("response_id")])]
     return rows.select(
-        "page_id", "b.record_type", _urn(F.col("b.record_type"), *identity).alias("record_id"), _urn(F.lit("response"), *identity).alias("refers_to"),
-        F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"), "b.content_type", F.col("headers").alias("source_headers"),
+        "page_id", "b.record_type", _urn(F.col("b.record_type"), *identity).alias("record_id"), F.coalesce("response_id", _urn(F.lit("response"), *identity)).alias("refers_to"),
+        F.col("url").alias("target_uri"), "warc_date", "b.content_type", F.col("headers").alias("source_headers"),
         F.col("digest").alias("source_digest"), _digest(F.col("b.block")).alias("block_digest"), "b.block",
     )
 
@@ -168,7 +177,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
-        headers = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:] if ": " in x)
+        headers = dict(x.split(": ", 1) for x in data[at:end].decode(errors="replace").split("\r\n")[1:] if ": " in x)
         size = int(headers.get("Content-Length", 0))
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size
@@ -186,3 +195,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
     return files.mapInArrow(run, "record_type string, record_id string, refers_to string, target_uri string, headers map<string,string>, block binary")
+
+
+def responses(records: DataFrame) -> DataFrame:
+    """(page_id, url, html, headers, record_id, date) of the responses among the records of ``read_warc``.
+
+    What ``derivatives`` takes, with ``headers_col="headers"``,
+    ``record_id_col="record_id"`` and ``date_col="date"``.  The block is cut at
+    its first empty line into HTTP headers, without the status line, and body;
+    a block without an empty line is all body and has null headers.  Bytes
+    that are not UTF-8 become replacement characters.  Responses have no
+    number of their own, so ``page_id`` is null.
+    """
+    text = F.make_valid_utf8(F.coalesce(F.col("block"), F.lit(b"")).cast("string"))
+    at = F.instr(text, "\r\n\r\n")
+    own = records.where(F.col("record_type") == "response").select(F.col("target_uri").alias("url"), text.alias("text"), at.alias("at"), "record_id", F.col("headers")["WARC-Date"].alias("date"))
+    head = F.when(F.col("at") > 0, F.expr("substring(text, 1, at - 1)"))
+    body = F.when(F.col("at") > 0, F.expr("substring(text, at + 4)")).otherwise(F.col("text"))
+    return own.select(F.lit(None).cast("long").alias("page_id"), "url", body.alias("html"), F.regexp_replace(head, r"^HTTP/[^\r\n]*\r\n", "").alias("headers"), "record_id", "date")

@@ -118,6 +118,24 @@ def test_rebalancing_moves_slots_to_new_shards_only(spark):
     assert set(load) == set(range(6)) and max(load.values()) < 1.5 * sum(load.values()) / 6
 
 
+def test_map_is_kept_and_edited_at_its_path(spark, odd, none, tmp_path):
+    path = "file://" + str(tmp_path / "map")
+    with pytest.raises(FileNotFoundError):
+        sharding.read_map(spark, path)
+    got = {(r.doc_id, r.shard) for r in sharding.shard(odd, 4, 2, 64, map_path=path).collect()}
+    kept = sharding.read_map(spark, path)
+    assert {(r.doc_id, r.shard) for r in sharding.assignments(odd, kept, 64).collect()} == got
+    two = {(r.version, r.slot, r.shard) for r in kept.collect()}
+    loads = spark.createDataFrame([(k, 1, 5 * k) for k in range(64)], "slot int, docs long, bytes long")
+    with pytest.raises(FileExistsError):
+        sharding.create_map(loads, path, 4)
+    with pytest.raises(ValueError):
+        sharding.grow_map(loads, path, 0)
+    (tmp_path / "map" / "v=3").mkdir()  # a run that was lost half-way
+    three = {(r.version, r.slot, r.shard) for r in sharding.grow_map(loads, path, 3).collect()}
+    assert two < three and all(v == 3 and 6 <= shard < 9 for v, _, shard in three - two)
+
+
 # --- 3: Kneser-Ney
 
 
@@ -197,6 +215,24 @@ def test_warc_records_link_to_their_response(spark, tmp_path):
     assert warc.derivatives(pages.limit(0)).count() == 0
 
 
+def test_warc_records_refer_to_the_responses_of_an_archive(spark, tmp_path):
+    def record(kind, key, url, block):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{key}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: 2023-0{key}-01T00:00:00Z\r\n"
+        return head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-A: b\r\n\r\n<p>caf\xe9</p>\r\n\r\n" + b"<p>long</p>" * 30_000
+    data = record("request", 1, "http://a/", b"GET / HTTP/1.1\r\n\r\n") + record("response", 2, "http://a/", page) + record("response", 3, "http://a/", page) + record("response", 4, "http://\udce9/".encode(errors="surrogateescape").decode("latin-1"), b"bare") + record("response", 5, "u", b"")
+    (tmp_path / "x.warc").write_bytes(data)
+    made = warc.responses(warc.read_warc(spark, str(tmp_path))).withColumn("digest", F.lit("clash")).withColumn("warc_date", F.lit("clash"))
+    rows = warc.derivatives(made, headers_col="headers", record_id_col="record_id", date_col="date").collect()
+    assert Counter(r.refers_to for r in rows) == {f"<urn:uuid:{k}>": 2 for k in (2, 3, 4, 5)}
+    assert all(r.warc_date == f"2023-0{r.refers_to[10]}-01T00:00:00Z" for r in rows)
+    assert len({r.record_id for r in rows}) == 8
+    first = next(r for r in rows if r.record_type == "conversion" and r.refers_to == "<urn:uuid:2>")
+    assert first.source_headers == "Content-Type: text/html\r\nX-A: b" and first.block.split("\n")[0] == "caf\ufffd" and first.block.count("long") == 30_000
+    assert next(r.block for r in rows if r.record_type == "conversion" and r.refers_to == "<urn:uuid:4>") == "bare"
+
+
 # --- 5: n-gram Jaccard join
 
 
