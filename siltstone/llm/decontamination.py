@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import normalised, raw, slices
+from siltstone.llm.common import normalised, raw, released, slices
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,7 +218,7 @@ def benchmark_hits(
                     ["doc_id", "item_id", "n_windows"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def decontaminate(
@@ -240,4 +240,4 @@ def decontaminate(
             clean[[r for r, _ in counts]] = False
             yield part.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)

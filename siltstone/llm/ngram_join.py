@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mix, ngram_hashes, normalised, slices, stored, word_hashes
+from siltstone.llm.common import mix, ngram_hashes, normalised, released, slices, stored, word_hashes
 
 #: Copies with a few words changed are above this; unrelated texts are far below.
 THRESHOLD = 0.55
@@ -424,9 +424,9 @@ def similar_nodes(docs: DataFrame, threshold: float, n: int, id_col: str, text_c
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     # as many ranges of signatures as partitions, several over; their number follows the setting that follows the data
     ranges = min(20, max(8, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    known = stored(source.mapInArrow(_members(n), "doc_id long, text_hash long, node long, size int, parity binary"), "ngram-members")
-    runs = source.select("text").mapInArrow(_signer(n, threshold, ranges), "bucket int, high binary, low binary, owners binary").repartition("bucket")
-    stars = stored(runs.mapInArrow(_stars, "centre long, node long").distinct(), "ngram-stars")
+    known = stored(source.mapInArrow(released(_members(n)), "doc_id long, text_hash long, node long, size int, parity binary"), "ngram-members")
+    runs = source.select("text").mapInArrow(released(_signer(n, threshold, ranges)), "bucket int, high binary, low binary, owners binary").repartition("bucket")
+    stars = stored(runs.mapInArrow(released(_stars), "centre long, node long").distinct(), "ngram-stars")
     large = stars.groupBy("centre").agg(F.count("*").alias("m")).where(F.col("m") > block).select("centre", F.expr(f"CAST((m + {block - 1}) DIV {block} AS INT)").alias("blocks"))
     own = F.struct("centre", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     centres = stars.join(large, "centre", "left").groupBy("node").agg(F.collect_list(own).alias("own"))
@@ -441,7 +441,7 @@ def similar_nodes(docs: DataFrame, threshold: float, n: int, id_col: str, text_c
     )
     kinds = "doc_id long, text_hash long, node long, copies long, centres array<long>, centre long, lo int, hi int, block int"
     grouped = spread.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    owned = stored(grouped.mapInArrow(_plausible(threshold), kinds), "ngram-groups")
+    owned = stored(grouped.mapInArrow(released(_plausible(threshold)), kinds), "ngram-groups")
     wanted = owned.groupBy("node").agg(
         F.first("doc_id").alias("w_id"), F.first("text_hash").alias("w_hash"), F.first("copies").alias("copies"), F.first("centres").alias("centres"),
         F.collect_list(F.struct(*_GROUP, "block")).alias("groups"),
@@ -450,13 +450,13 @@ def similar_nodes(docs: DataFrame, threshold: float, n: int, id_col: str, text_c
     held = wanted.agg(F.coalesce(F.sum(40 + 8 * F.size("centres") + 24 * F.size("groups")), F.lit(0))).first()[0]
     texts = source.join(F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
     kinds = "node long, copies long, centres array<long>, groups array<struct<centre:long,lo:int,hi:int,block:int>>, text string"
-    texts = texts.select("node", "copies", "centres", "groups", "text").mapInArrow(_once, kinds)
+    texts = texts.select("node", "copies", "centres", "groups", "text").mapInArrow(released(_once), kinds)
     compared = (
         texts.select(F.explode("groups").alias("g"), "node", "copies", "centres", "text")
         .select("g.*", "node", "copies", "centres", "text")
         .repartition(*_GROUP)
         .sortWithinPartitions(*_GROUP)
-        .mapInArrow(_compare(threshold, n, counted), "node_a long, node_b long, links long")
+        .mapInArrow(released(_compare(threshold, n, counted)), "node_a long, node_b long, links long")
     )
     return known.select("doc_id", "text_hash", "node"), stored(compared, "ngram-edges")
 
@@ -493,7 +493,7 @@ def connected(edges: DataFrame, max_rounds: int = 200, local_edges: int = 1 << 2
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     if e.count() <= local_edges:
-        return stored(e.coalesce(1).mapInArrow(_least_connected, "node long, root long"), "components")
+        return stored(e.coalesce(1).mapInArrow(released(_least_connected), "node long, root long"), "components")
     before = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.llm.common import as_strings, slices, stored
+from siltstone.llm.common import as_strings, released, slices, stored
 from siltstone.llm.tokens import VOCABULARY, encode
 
 
@@ -152,7 +152,7 @@ def _token_counter(path: str):
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of every row: the tokens of its whole text.  Null and empty texts have none."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_token_counter(vocabulary), "doc_id long, n_tokens long")
+    return own.mapInArrow(released(_token_counter(vocabulary)), "doc_id long, n_tokens long")
 
 
 def pack(
