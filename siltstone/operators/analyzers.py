@@ -182,9 +182,12 @@ def unimplemented_methods(iface_methods: DataFrame, methods: DataFrame) -> DataF
     return finding(rows, "unused-members", "unused", "info", "UM002", _text("method ", F.col("owner"), ".", F.col("name"), " has no implementation"))
 
 
-def unused_files(candidates: DataFrame, loaded: DataFrame) -> DataFrame:
-    """candidates and loaded: file; files on disk, of the kind that packages are made of, that no package has."""
-    rows = candidates.join(loaded.select("file").distinct(), "file", "left_anti")
+def unused_files(candidates: DataFrame, loaded: DataFrame, key: str = "file") -> DataFrame:
+    """candidates and loaded: file; files on disk, of the kind that packages are made of, that no package has.
+
+    ``key`` is the column that tells files apart where several have one path.
+    """
+    rows = candidates.join(loaded.select(key).distinct(), key, "left_anti")
     return finding(rows, "unused-files", "unused", "warning", "UF001", _text("file ", F.col("file"), " is not used"))
 
 
