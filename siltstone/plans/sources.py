@@ -31,10 +31,10 @@ def _modules(spark, sf_dir):
 
 @catalog.add("src02_collect_stats", "SELECT count(DISTINCT p_brand) AS packages, count(*) AS files, CAST(sum(p_size % 4 + 2) AS BIGINT) AS decls, CAST(sum(p_size % 4 + 1) AS BIGINT) AS functions, count(*) AS types FROM part")
 def src02(spark, sf_dir):
-    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
+    p = go.dealt(table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size"))
     functions = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda k: F.concat(F.lit("func f"), k.cast("string"), F.lit("() {}\n"))), "")
     src = F.concat(F.lit("package "), F.replace("p_brand", F.lit("#"), F.lit("x")), F.lit("\n\ntype T struct{}\n\n"), functions)
-    found = go.extract(p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".go")).alias("file"), src.alias("src")))
+    found = go.extract(p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".go")).alias("file"), src.alias("src")), "package", "n_decls", "n_types", "funcs.name")
     return R.project_stats(found.select("package", "file", "n_decls", "n_types", F.size("funcs").alias("n_funcs")))
 
 

@@ -126,6 +126,31 @@ def test_odd_files():
     assert go.facts(deep)["funcs"][0]["cyclomatic"] == 51
 
 
+def test_named_facts_are_those_of_all():
+    fields = ("package", "funcs.cyclomatic", "funcs.cognitive", "funcs.stmt_count")
+    found = go.facts(CLI, go._only(fields))
+    every = go.facts(CLI)
+    assert found["package"] == every["package"]
+    assert [{k: f[k] for k in ("cyclomatic", "cognitive", "stmt_count")} for f in found["funcs"]] == [{k: f[k] for k in ("cyclomatic", "cognitive", "stmt_count")} for f in every["funcs"]]
+    assert not found["calls"] and not found["literals"] and every["calls"] and every["literals"]
+    with pytest.raises(ValueError):
+        go._only(("funcs.no_such",))
+
+
+def test_lines_of_tokens():
+    tokens, comments = go.lex("a := `x\ny`\n\n  \n// c\nb /* d\n */ \n'z")
+    assert [(t.text, t.line) for t in tokens] == [("a", 1), (":=", 1), ("`x\ny`", 1), (";", 1), ("b", 6), (";", 6), ("'", 8), ("z", 8), (";", 8)]
+    assert [(t.text, t.line) for t in comments] == [("// c", 5), ("/* d\n */", 6)]
+
+
+def test_files_made_of_small_rows_are_dealt_to_many_tasks(spark, tmp_path):
+    from siltstone.plans.files import _sources
+
+    part = spark.range(5000).selectExpr("id AS p_partkey", "'n' AS p_name", "CAST(1 AS INT) AS p_size").coalesce(1)
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    assert go.extract(_sources(spark, str(tmp_path))).rdd.getNumPartitions() == 3
+
+
 def test_unreadable_files_have_an_error(spark):
     bad = "package x\nfunc f() {" + "{" * 100_000
     df = go.extract(spark.createDataFrame([("a.go", bad), ("b.go", "package b"), ("c.go", None)], "file string, src string"))
