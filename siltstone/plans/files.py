@@ -31,7 +31,7 @@ def _sources(spark, sf_dir):
 
 @catalog.add("src01_load_packages", "SELECT 'made/' || p_partkey || '.go' AS file, 'made' AS package, 'fmt' AS imports, 'Make' || p_partkey AS name, 6 AS line, 11 + 3 * p_size AS end_line FROM part")
 def src01(spark, sf_dir):
-    found = go.extract(_sources(spark, sf_dir))
+    found = go.extract(_sources(spark, sf_dir), "package", "imports", "funcs.name", "funcs.line", "funcs.end_line")
     return found.select("file", "package", F.array_join("imports.path", ",").alias("imports"), F.explode("funcs").alias("f")).select("file", "package", "imports", "f.name", "f.line", "f.end_line")
 
 

@@ -137,6 +137,13 @@ def test_named_facts_are_those_of_all():
         go._only(("funcs.no_such",))
 
 
+def test_extracted_facts_have_the_named_fields_only(spark):
+    df = go.extract(spark.createDataFrame([("a.go", CLI)], "file string, src string"), "package", "imports", "funcs.name", "funcs.line")
+    assert set(df.columns) == {"file", "package", "error", "imports", "funcs"}
+    assert df.schema["funcs"].dataType.elementType.names == ["name", "line"]
+    assert [r.name for r in df.selectExpr("inline(funcs)").collect()] == [f["name"] for f in go.facts(CLI)["funcs"]]
+
+
 def test_lines_of_tokens():
     tokens, comments = go.lex("a := `x\ny`\n\n  \n// c\nb /* d\n */ \n'z")
     assert [(t.text, t.line) for t in tokens] == [("a", 1), (":=", 1), ("`x\ny`", 1), (";", 1), ("b", 6), (";", 6), ("'", 8), ("z", 8), (";", 8)]
