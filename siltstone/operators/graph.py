@@ -1,7 +1,8 @@
 """Graph operators on edge relations (src, dst).
 
-A graph of at most :data:`LOCAL_EDGES` edges, which are counted first, is
-solved by one task with arrays.  A larger one is solved by iterated joins: an
+A graph of at most :data:`LOCAL_EDGES` edges (:data:`LOCAL_NAMES` where nodes
+are not whole numbers), which are counted first, is solved by one task with
+arrays.  A larger one is solved by iterated joins: an
 iteration keeps what is new, anti-joined with what is known, and writes it to
 the shared folder, so plans stay short and lost executors cost one round.
 Both ways give the same rows.
@@ -9,7 +10,7 @@ Both ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,13 +18,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from siltstone.storage import stored
 
 #: The parts of a growing relation are merged into one after so many rounds.
 COMPACT = 8
-#: Graphs of up to this many edges (and given nodes) fit one task's memory many times over.
-LOCAL_EDGES = 1 << 20
+#: Graphs of up to this many edges (and given nodes) are solved by one task, in arrays of whole numbers.
+LOCAL_EDGES = 1 << 24
+#: The same for names of other types, whose length is not known, and for components, which are searched node by node.
+LOCAL_NAMES = 1 << 20
 
 
 def _merged(parts: list[DataFrame], what: str) -> list[DataFrame]:
@@ -32,22 +36,57 @@ def _merged(parts: list[DataFrame], what: str) -> list[DataFrame]:
     return [stored(reduce(DataFrame.unionByName, parts), what)]
 
 
+def _numbered(columns: list[pa.ChunkedArray]) -> tuple[pa.Array, list[np.ndarray]]:
+    """(all values in order, the columns as 32-bit numbers of values); the list is emptied on the way."""
+    kind = columns[0].type
+    if not pa.types.is_integer(kind):
+        names = pc.unique(pa.chunked_array([c for x in columns for c in x.chunks], kind)).sort()
+        return names, [pc.index_in(x, names).to_numpy().astype(np.int32) for x in columns]
+    values = [columns.pop(0).to_numpy().astype(np.int64, copy=False) for _ in range(len(columns))]
+    some = [v for v in values if len(v)]
+    low, high = min(int(v.min()) for v in some), max(int(v.max()) for v in some)
+    if high - low < 1024 + 4 * sum(map(len, some)):
+        # keys without wide gaps: a table by key
+        seen = np.zeros(high - low + 1, bool)
+        for v in some:
+            seen[v - low] = True
+        names = np.flatnonzero(seen) + low
+        code = np.cumsum(seen, dtype=np.int32) - np.int32(1)
+        number = lambda v: code[v - low]
+    else:
+        names = np.unique(np.concatenate([np.unique(v) for v in some]))
+        number = lambda v: np.searchsorted(names, v).astype(np.int32)
+    return pa.array(names).cast(kind), [number(values.pop(0)) for _ in range(len(values))]
+
+
 class Local:
     """A small graph as arrays: nodes are numbers in the order of their names."""
 
-    def __init__(self, src: pa.Array, dst: pa.Array):
-        marked = pa.concat_arrays([src, dst])
-        self.names = pc.unique(pc.drop_null(marked)).sort()
-        code = pc.index_in(marked, self.names)
-        code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False)
-        s, d = code[: len(src)], code[len(src) :]
-        #: rows without a source, and without a target
-        self.given, self.nodes = d[s < 0], s[d < 0]
-        inner = (s >= 0) & (d >= 0)
-        order = np.argsort(s[inner], kind="stable")
-        self.src, self.dst = s[inner][order], d[inner][order]
+    def __init__(self, batches: Iterable[pa.RecordBatch]):
+        parts: dict[str, list[pa.Array]] = {"src": [], "dst": [], "given": [], "nodes": []}
+        for batch in batches:
+            s, d = batch.column("src"), batch.column("dst")
+            with_s, with_d = s.is_valid(), d.is_valid()
+            inner = pc.and_(with_s, with_d)
+            parts["src"].append(s.filter(inner))
+            parts["dst"].append(d.filter(inner))
+            # rows without a source, and without a target
+            parts["given"].append(d.filter(pc.and_not(with_d, with_s)))
+            parts["nodes"].append(s.filter(pc.and_not(with_s, with_d)))
+        self.rows = sum(map(len, (*parts["src"], *parts["given"], *parts["nodes"])))
+        if not self.rows:
+            return
+        kind = parts["src"][0].type
+        self.names, codes = _numbered([pa.chunked_array(parts.pop(k), kind) for k in ("src", "dst", "given", "nodes")])
+        s, d, self.given, self.nodes = codes
+        del codes
         self.n = len(self.names)
-        self.first = np.searchsorted(self.src, np.arange(self.n + 1))
+        order = np.argsort(s, kind="stable")
+        self.dst = d[order]
+        del d
+        self.src = s[order]
+        del s, order
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.src, minlength=self.n))])
 
     def after(self, front: np.ndarray) -> np.ndarray:
         """The numbers of the edges that leave the front."""
@@ -56,7 +95,7 @@ class Local:
 
     def depths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nodes reached from the given ones, their distance and least parent (-1)."""
-        depth, parent = np.full(self.n, -1), np.full(self.n, -1)
+        depth, parent = np.full(self.n, -1, np.int32), np.full(self.n, -1, np.int32)
         front = np.unique(self.given)
         depth[front] = k = 0
         while len(front):
@@ -72,7 +111,7 @@ class Local:
     def layers(self) -> tuple[np.ndarray, np.ndarray]:
         """The longest way to each node; nodes on cycles and behind them are in one last layer."""
         into = np.bincount(self.dst, minlength=self.n)
-        layer = np.full(self.n, -1)
+        layer = np.full(self.n, -1, np.int32)
         front, k = np.flatnonzero(into == 0), 0
         while len(front):
             layer[front] = k
@@ -124,9 +163,11 @@ class Local:
         return out
 
 
-def _is_small(*parts: DataFrame) -> bool:
+def _is_small(*parts: DataFrame, most: int | None = None) -> bool:
     """Whether stored tables have few enough rows for one task; they are counted from their files' footers."""
-    return sum(p.count() for p in parts) <= LOCAL_EDGES
+    if most is None:
+        most = LOCAL_EDGES if isinstance(parts[0].schema[0].dataType, IntegralType) else LOCAL_NAMES
+    return sum(p.count() for p in parts) <= most
 
 
 def _locally(edges: DataFrame, given: DataFrame | None, nodes: DataFrame | None, schema: str, solve: Callable[[Local], list]) -> DataFrame:
@@ -139,18 +180,13 @@ def _locally(edges: DataFrame, given: DataFrame | None, nodes: DataFrame | None,
         rows = rows.union(nodes.select(F.col(nodes.columns[0]).alias("src"), F.lit(None).cast(kind).alias("dst")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
+        graph = Local(batches)
+        if not graph.rows:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
-        src, dst = (table.column(c).combine_chunks() for c in ("src", "dst"))
-        if isinstance(src, pa.ChunkedArray):
-            src, dst = pa.concat_arrays(src.chunks), pa.concat_arrays(dst.chunks)
-        graph = Local(src, dst)
         columns = []
         for c in solve(graph):
             if isinstance(c, tuple):
-                c = graph.names.take(pa.array(np.where(c[0] < 0, 0, c[0]), mask=c[0] < 0)) if graph.n else graph.names
+                c = graph.names.take(pa.array(c[0], mask=c[0] < 0))
             columns.append(c if isinstance(c, pa.Array) else pa.array(c))
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
@@ -197,7 +233,7 @@ def depths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
         def solve(g: Local) -> list:
             node, depth, parent = g.depths()
-            return [(node,), depth.astype(np.int32), (parent,)]
+            return [(node,), depth, (parent,)]
 
         return stored(_locally(e, first, None, f"node {kind}, depth int, parent {kind}", solve), "depths")
     e = e.repartition("src").persist()
@@ -248,7 +284,7 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
         def solve(g: Local) -> list:
             node, layer = g.layers()
-            return [(node,), layer.astype(np.int32)]
+            return [(node,), layer]
 
         return stored(_locally(e, None, nodes, f"node {kind}, layer int", solve), "layers")
     e = e.repartition("src").persist()
@@ -334,7 +370,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     kind = edges.schema["src"].dataType.simpleString()
     e = stored(edges.select("src", "dst").where("src <> dst").distinct(), "components")
-    if _is_small(e):
+    if _is_small(e, most=LOCAL_NAMES):
 
         def solve(g: Local) -> list:
             own = g.components()

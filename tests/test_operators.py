@@ -194,6 +194,25 @@ def test_rules_match_at_slashes(spark):
     assert R.uncovered_packages(p, r.where("package = ''")).count() == 0
 
 
+@pytest.mark.parametrize("kind, gap", [("int", 1), ("bigint", 7919), ("string", 1)])
+def test_arrays_and_joins_give_the_same_graph(spark, monkeypatch, kind, gap):
+    # keys of both signs, with wide gaps or without
+    as_kind = lambda k: k.withColumns({c: F.expr(f"CAST(({c} - 20) * {gap} AS {kind})") for c in k.columns})
+    edges = as_kind(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 4), (9, 30), (30, 31)], "src bigint, dst bigint"))
+    seeds, nodes = as_kind(spark.createDataFrame([(1,), (50,)], "node bigint")), as_kind(spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 9, 30, 31, 60)], "node bigint"))
+    solve = lambda: [sorted(map(str, df.collect())) for df in (graph.depths(edges, seeds), graph.layers(nodes, edges))]
+    local = solve()
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(graph, "LOCAL_NAMES", 0)
+    assert local == solve() and [len(x) for x in local] == [5, 8]
+
+
+def test_graphs_of_millions_of_numbers_are_solved_in_one_task(spark):
+    some = spark.createDataFrame([(1,)], "node bigint")
+    assert graph._is_small(spark.range(3_000_000)) and not graph._is_small(spark.range(3_000_000).selectExpr("CAST(id AS string) AS src"))
+    assert not graph._is_small(spark.range(1 << 24), some)
+
+
 def test_prefixes(spark):
     m = spark.createDataFrame([("a.org/x",), ("a.org/xy",)], "module string")
     u = spark.createDataFrame([("a.org/xyz",), ("a.org/x/y",)], "path string")
