@@ -448,6 +448,8 @@ def module_graph(imports: DataFrame, packages: DataFrame) -> DataFrame:
 
 def impact_report(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """One row: changed, affected, blast_radius, gaps, max_fan_in of the changed nodes, first layer hit."""
+    # the edges are used four times
+    edges = stored(edges.select("src", "dst").distinct(), "impact-edges")
     hit = stored(affected(edges, changed), "impact")
     fan = fan_io(nodes, edges).join(changed.select(F.col(changed.columns[0]).alias("node")).distinct(), "node", "left_semi")
     one = changed.select(F.countDistinct(changed.columns[0]).alias("changed"))
@@ -463,6 +465,8 @@ def impact_report(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> Dat
 
 def status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(fn, status) of (fn, pkg, is_root) nodes: dead if not reached from a root, unused if no other package calls it, else used."""
+    # the edges are used twice
+    edges = stored(edges.select("src", "dst").distinct(), "status-edges")
     live = reach(edges, nodes.where("is_root").select("fn")).select(F.col("node").alias("fn"), F.lit(1).alias("live"))
     caller = nodes.select(F.col("fn").alias("src"), F.col("pkg").alias("src_pkg"))
     callee = nodes.select(F.col("fn").alias("dst"), F.col("pkg").alias("dst_pkg"))

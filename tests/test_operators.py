@@ -213,6 +213,23 @@ def test_graphs_of_millions_of_numbers_are_solved_in_one_task(spark):
     assert not graph._is_small(spark.range(1 << 24), some)
 
 
+def test_reports_scan_the_edges_once(spark, tmp_path):
+    spark.range(1, 50).selectExpr("id AS src", "id + 1 AS dst").write.parquet(str(tmp_path / "e"))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    edges = spark.read.parquet(str(tmp_path / "e")).mapInArrow(seen, "src bigint, dst bigint")
+    nodes = spark.range(1, 51).selectExpr("id AS fn", "'p' || id % 2 AS pkg", "id = 1 AS is_root")
+    assert graph.impact_report(nodes.select("fn"), edges, nodes.where("fn = 50").select("fn")).first().affected == 49
+    assert read.value == 49
+    assert {r.status for r in graph.status(nodes, edges).collect()} == {"unused", "used"}
+    assert read.value == 98
+
+
 def test_prefixes(spark):
     m = spark.createDataFrame([("a.org/x",), ("a.org/xy",)], "module string")
     u = spark.createDataFrame([("a.org/xyz",), ("a.org/x/y",)], "path string")
