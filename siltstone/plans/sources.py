@@ -19,7 +19,8 @@ def _lines(rows, key, texts):
 
 
 def _modules(spark, sf_dir):
-    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
+    # a small row becomes thirteen lines
+    p = go.dealt(table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size"), per_task=1 << 16)
     lit, size = F.lit, F.col("p_size").cast("string")
     texts = [
         F.concat(lit("module example.org/"), "p_brand"), lit(""), F.concat(lit("go 1."), size), lit("require ("), F.concat(lit("\ta.org/"), "p_type", lit(" v1.0.0")),

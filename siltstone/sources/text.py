@@ -47,8 +47,17 @@ def has_build_constraint(head: Column) -> Column:
     return F.exists(F.slice(F.split(head, "\n"), 1, 10), lambda x: x.rlike(r"^//(?:go:build| ?\+build)\b"))
 
 
-def _statements(lines: DataFrame, word: str) -> DataFrame:
-    """(file, line, body) of the one-line and block statements that begin with a word."""
+#: Lines that one task sorts.
+LINES_PER_TASK = 1 << 18
+
+
+def _bodies(lines: DataFrame, word: str) -> DataFrame:
+    """(file, line, t, body) of all lines: stripped, and what they have of one-line and block statements that begin with a word.
+
+    Files are laid into a number of partitions that grows with the lines, so
+    what a task sorts does not.
+    """
+    lines = lines.repartition(max(1, -(-lines.count() // LINES_PER_TASK)), "file")
     text = stripped(F.col("text"))
     opens = text.rlike(rf"^{word}\s*\($")
     closes = text == ")"
@@ -56,10 +65,18 @@ def _statements(lines: DataFrame, word: str) -> DataFrame:
     along = W.partitionBy("file").orderBy("line")
     # a line is inside the block whose opening line is the last one that opened or closed any
     state = F.last(F.when(opens, True).when(begins | closes, False), True).over(along)
-    inside = lines.select("file", "line", text.alias("t"), F.coalesce(state, F.lit(False)).alias("inside"), opens.alias("opens"))
+    rows = lines.select("file", "line", text.alias("t"), F.coalesce(state, F.lit(False)).alias("inside"), opens.alias("opens"))
     single = F.col("t").rlike(rf"^{word}\s+[^(]")
     body = F.when(single, F.regexp_replace("t", rf"^{word}\s+", "")).when(F.col("inside") & ~F.col("opens"), F.col("t"))
-    return inside.select("file", "line", body.alias("body")).where("body IS NOT NULL AND body <> '' AND NOT startswith(body, '//')")
+    return rows.select("file", "line", "t", body.alias("body"))
+
+
+_STATED = "body IS NOT NULL AND body <> '' AND NOT startswith(body, '//')"
+
+
+def _statements(lines: DataFrame, word: str) -> DataFrame:
+    """(file, line, body) of the one-line and block statements that begin with a word."""
+    return _bodies(lines, word).select("file", "line", "body").where(_STATED)
 
 
 def requirements(lines: DataFrame) -> DataFrame:
@@ -77,14 +94,16 @@ def replacements(lines: DataFrame) -> DataFrame:
 
 
 def project_info(lines: DataFrame) -> DataFrame:
-    """(file, module, go_version, requirements) of module files."""
-    t = stripped(F.col("text"))
-    one = lines.groupBy("file").agg(
+    """(file, module, go_version, requirements) of module files.
+
+    One aggregate over the files' lines, which are together and in order already.
+    """
+    t = F.col("t")
+    return _bodies(lines, "require").groupBy("file").agg(
         F.max(F.when(t.rlike(r"^module\s"), F.regexp_extract(t, r"^module\s+(\S+)", 1))).alias("module"),
         F.max(F.when(t.rlike(r"^go\s"), F.regexp_extract(t, r"^go\s+(\S+)", 1))).alias("go_version"),
+        F.count_if(F.expr(_STATED) & (F.size(F.split("body", r"\s+", 2)) > 1)).alias("requirements"),
     )
-    n = requirements(lines).groupBy("file").agg(F.count("*").alias("requirements"))
-    return one.join(n, "file", "left").na.fill(0, ["requirements"])
 
 
 def git_log_files(lines: DataFrame, since: str | None = None) -> DataFrame:

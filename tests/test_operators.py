@@ -259,6 +259,17 @@ def test_module_file(spark):
     assert rows(T.project_info(lines), "module", "go_version", "requirements") == [("a.b/c", "1.22", 3)]
 
 
+def test_module_files_are_laid_into_partitions_by_their_lines(spark, monkeypatch):
+    monkeypatch.setattr(T, "LINES_PER_TASK", 100)
+    text = ["module a.b/c", "go 1.22", "require (", "x.y/z v1.2.3", "// none v1", "alone", ")", "require k.l/m v1.0.0"]
+    lines = spark.createDataFrame([(f"{f}/go.mod", k + 1, t) for f in range(50) for k, t in enumerate(text)] + [("e/go.mod", 1, "")], "file string, line int, text string")
+    found = T.project_info(lines)
+    assert found.rdd.getNumPartitions() == 5
+    assert found.count() == 51
+    assert rows(found.where("requirements > 0").select("module", "go_version", "requirements").distinct()) == [("a.b/c", "1.22", 2)]
+    assert [tuple(r) for r in found.where("file = 'e/go.mod'").collect()] == [("e/go.mod", None, None, 0)]
+
+
 def test_read_lines(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "OWNERS").write_text("# x\n*.go @a @b\n!docs/ @c\n")
